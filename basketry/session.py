@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings: UTC makes dates reproducible, ANSI makes bad numbers fail, and
 # AQE picks broadcast, coalescing and skew splits from measured sizes.
@@ -53,3 +54,14 @@ def shared_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="basketry-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back.
+
+    For compact intermediates that later steps read several times: they are computed once,
+    survive the loss of executors, and come back with known size and prunable columns.
+    """
+    path = f"{shared_dir(df.sparkSession)}/basketry/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
