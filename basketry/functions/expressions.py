@@ -87,4 +87,5 @@ def stable_uuid(*parts: Column) -> Column:
 
 def percent_bucket(*parts: Column) -> Column:
     """A stable number 0..99 from the parts joined with ``:``."""
-    return F.pmod(F.crc32(F.concat_ws(":", *parts)), F.lit(100)).cast("int")
+    head = F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8)
+    return (F.conv(head, 16, 10).cast("bigint") % 100).cast("int")

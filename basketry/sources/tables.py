@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.operators.merge import upsert_by_key
+from basketry.session import materialize
 
 
 def _fs(spark: SparkSession, path: str):
@@ -73,27 +74,26 @@ def merge_table(updates: DataFrame, table: str, keys: list[str]) -> None:
 def replace_tenants(rows: DataFrame, path: str, refreshed: DataFrame) -> list[str]:
     """Replace the folders of the refreshed tenants; returns those left without rows.
 
-    ``rows`` must hold refreshed tenants only and must not derive from ``path``. Tenants
-    that keep rows are swapped by dynamic partition overwrite at job commit. Tenants
-    without rows have their folder removed afterwards. The list on the driver holds
-    one entry per such folder, never table rows.
+    ``rows`` must hold refreshed tenants only. Tenants that keep rows are swapped by
+    dynamic partition overwrite at job commit. Tenants without rows have their folder
+    removed afterwards. The list on the driver holds one entry per such folder, never
+    table rows.
     """
     spark = rows.sparkSession
-    written = Observation()
+    rows = materialize(rows, "replacement")
     (
-        rows.observe(written, F.collect_set("tenant_id").alias("tenants"))
-        .hint("rebalance", "tenant_id")
+        rows.hint("rebalance", "tenant_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("tenant_id")
         .parquet(path)
     )
-    kept = set(written.get["tenants"])
+    empty = refreshed.select("tenant_id").distinct().join(
+        rows.select("tenant_id").distinct(), "tenant_id", "left_anti"
+    )
     escape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
     cleared = []
-    for row in refreshed.select("tenant_id").distinct().toLocalIterator():
-        if row.tenant_id in kept:
-            continue
+    for row in empty.toLocalIterator():
         folder, fs = _fs(spark, f"{path}/tenant_id={escape.escapePathName(row.tenant_id)}")
         if fs.exists(folder):
             fs.delete(folder, True)

@@ -100,7 +100,7 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         customer.alias("customer_id"),
         "event_type",
         "product_id",
-        F.from_json("properties", "map<string,double>").alias("properties"),
+        F.from_json("properties", "revenue DOUBLE").alias("properties"),
         F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
     )
     return (
@@ -115,3 +115,40 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
             ).alias("body"),
         )
     )
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The generated event file as a stream."""
+    columns = (
+        "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING,"
+        " value DOUBLE, props STRING"
+    )
+    raw = (
+        configure(spark).readStream.schema(columns)
+        .option("pathGlobFilter", "events.parquet")
+        .parquet(sf_dir)
+    )
+    return shape_events(raw)
+
+
+def latency_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log with the event kind as surface and the event value as latency."""
+    raw = configure(spark).read.parquet(f"{sf_dir}/events.parquet")
+    return raw.select(
+        _tenant(F.col("event_id")).alias("tenant_id"),
+        F.col("event_type").alias("surface"),
+        F.col("value").alias("latency_ms"),
+    )
+
+
+def tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per region, standing in as tenants ``t0`` to ``t4``."""
+    region = configure(spark).read.parquet(f"{sf_dir}/region.parquet")
+    key = F.concat(F.lit("t"), F.col("r_regionkey").cast("string"))
+    return region.select(
+        key.alias("id"),
+        F.col("r_name").alias("name"),
+        F.lower("r_name").alias("slug"),
+        F.lit("pro").alias("plan_tier"),
+        F.lit(AS_OF).cast("timestamp").alias("created_at"),
+    )
