@@ -18,6 +18,9 @@ RUNTIME_CONF = {
 }
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else made."""
     for key, value in RUNTIME_CONF.items():
@@ -51,9 +54,10 @@ def shared_dir(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="basketry-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="basketry-")
+    return _LOCAL_DIRS[app]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
