@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.expressions import before, is_type
@@ -52,6 +52,13 @@ def category_leaders(products: DataFrame, n: int = 100) -> DataFrame:
     )
 
 
+def leader_lists(leaders: DataFrame) -> DataFrame:
+    """The leaders of each category as one array in id order."""
+    return leaders.groupBy("tenant_id", "category").agg(
+        F.array_sort(F.collect_list("product_id")).alias("ids")
+    )
+
+
 def leading_categories(
     features: DataFrame, leaders: DataFrame, n: int = 100, keys: list[str] = CUSTOMER
 ) -> DataFrame:
@@ -85,12 +92,9 @@ def affinity_candidates(
 def expand_categories(
     categories: DataFrame, leaders: DataFrame, n: int, keys: list[str]
 ) -> DataFrame:
-    lists = leaders.groupBy("tenant_id", "category").agg(
-        F.array_sort(F.collect_list("product_id")).alias("ids")
-    )
     best_first = Window.partitionBy(*keys).orderBy(F.desc("category_score"), "product_id")
     return (
-        categories.join(lists, ["tenant_id", "category"])
+        categories.join(leader_lists(leaders), ["tenant_id", "category"])
         .select(
             *keys,
             F.col("affinity_score").alias("category_score"),
@@ -139,9 +143,16 @@ def blend_candidates(
     """
     none = F.lit(None).cast("double")
     rows = affinity.select(*keys, "product_id", "category_score", none.alias("confidence"))
-    rows = rows.unionByName(
-        related.select(*keys, "product_id", none.alias("category_score"), "confidence")
+    return merge_candidates(
+        rows.unionByName(
+            related.select(*keys, "product_id", none.alias("category_score"), "confidence")
+        ),
+        keys,
     )
+
+
+def merge_candidates(rows: DataFrame, keys: list[str] = REQUEST) -> DataFrame:
+    """Fold rows of ``category_score`` or ``confidence`` (or both) to one per product."""
     merged = rows.groupBy(*keys, "product_id").agg(
         F.max("category_score").alias("by_category"), F.max("confidence").alias("by_pair")
     )
@@ -159,11 +170,11 @@ def blend_candidates(
     )
 
 
-def blended_score(category, pair):
+def blended_score(category: Column, pair: Column) -> Column:
     return F.lit(CATEGORY_WEIGHT) * category + F.lit(COOCCURRENCE_WEIGHT) * pair
 
 
-def rounded_score():
+def rounded_score() -> Column:
     """The score of a blended row; popularity scores stand as they are."""
     raw = F.when(
         F.col("reason") == "global_popularity", F.col("cooccurrence_score")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.expressions import before
@@ -19,60 +19,159 @@ from basketry.schemas import CUSTOMER, MAX_LIMIT
 from basketry.session import materialize
 
 BLOCK = 64
+TOP = 100
 
 
-def deciding_pairs(
-    anchors: DataFrame,
-    requests: DataFrame,
-    cooc: DataFrame,
-    categories: DataFrame,
-    leaders: DataFrame,
+def _floor_score(category: Column) -> Column:
+    """The least final score of a product with this category score."""
+    return F.round(c.blended_score(category, F.lit(0.0)), 4)
+
+
+def request_categories(
+    requests: DataFrame, features: DataFrame, leaders: DataFrame
 ) -> DataFrame:
-    """The related products that can decide a request's top ``limit``.
+    """The categories that make up each request's top 100 by affinity, without listing it.
 
-    Joining anchors with all their pairs would multiply a popular anchor's customers by
-    all products related to it. Two bounded look-ups give the same ranking:
+    Per request and category:
 
-    * Pairs that lead to a product of the request's leading categories. Only a category's
-      leaders can be affinity candidates, so each anchor and category meets few pairs.
-    * Each anchor's best pairs. A product with no category score is behind all products
-      better placed under the anchor it scores through. With ``limit`` plus the number of
-      exclusions of these ahead of it, it cannot be shown. Places are grouped in blocks,
-      and a request joins the blocks it needs.
+    * ``max_id``: the last product id still within the 100, when the equally scored
+      categories ``tied`` at the edge do not fit whole. It depends on the tied
+      categories and the room left only, so it is found once per such combination.
+    * ``ahead``: products with a greater final score.
+    * ``floor``: the final score that ``needed`` products of the request reach.
     """
-    pairs = cooc.filter(F.col("product_a_id") != F.col("product_b_id")).select(
+    sizes = leaders.groupBy("tenant_id", "category").agg(F.count("*").alias("size"))
+    needed = (F.col("limit") + F.size("exclude_product_ids")).alias("needed")
+    per_score = Window.partitionBy(*REQUEST, "affinity_score")
+    down = Window.partitionBy(*REQUEST).orderBy(F.desc("affinity_score"))
+    per_final = Window.partitionBy(*REQUEST, "final")
+    down_final = Window.partitionBy(*REQUEST).orderBy(F.desc("final"))
+    whole = Window.partitionBy(*REQUEST)
+    placed = (
+        feature_lookup(requests, features)
+        .select(
+            *REQUEST, needed, F.explode("category_affinity").alias("category", "affinity_score")
+        )
+        .join(sizes, ["tenant_id", "category"])
+        .withColumn("group_size", F.sum("size").over(per_score))
+        .withColumn("higher", F.sum("size").over(down) - F.col("group_size"))
+        .filter(F.col("higher") < TOP)
+        .withColumn("tied", F.array_sort(F.collect_list("category").over(per_score)))
+        .withColumn("room", (TOP - F.col("higher")).cast("int"))
+        .withColumn("cut", F.col("group_size") > F.col("room"))
+        .withColumn("final", _floor_score(F.col("affinity_score")))
+        .withColumn("reached", F.sum("size").over(down_final))
+        .withColumn("ahead", F.col("reached") - F.sum("size").over(per_final))
+        .withColumn(
+            "floor",
+            F.max(
+                F.when(F.least("reached", F.lit(TOP)) >= F.col("needed"), F.col("final"))
+            ).over(whole),
+        )
+        .select(*REQUEST, "needed", "category", "affinity_score", "ahead", "floor",
+                F.when(F.col("cut"), F.col("tied")).alias("tied"), "room")
+    )
+    placed = materialize(placed, "request-categories")
+
+    edges = placed.filter(F.col("tied").isNotNull()).select("tenant_id", "tied", "room").distinct()
+    max_ids = (
+        edges.select("*", F.explode("tied").alias("category"))
+        .join(c.leader_lists(leaders), ["tenant_id", "category"])
+        .groupBy("tenant_id", "tied", "room")
+        .agg(F.flatten(F.collect_list(F.slice("ids", F.lit(1), F.col("room")))).alias("ids"))
+        .select("tenant_id", "tied", "room",
+                F.element_at(F.array_sort("ids"), F.col("room")).alias("max_id"))
+    )
+    return placed.join(max_ids, ["tenant_id", "tied", "room"], "left").drop("tied", "room")
+
+
+def _in_top() -> Column:
+    return F.col("max_id").isNull() | (F.col("product_id") <= F.col("max_id"))
+
+
+def best_by_category(categories: DataFrame, leaders: DataFrame) -> DataFrame:
+    """The affinity products that can be shown on their category score alone.
+
+    A product behind ``needed`` others with at least its final score cannot.
+    """
+    return (
+        categories.filter(F.col("ahead") < F.col("needed"))
+        .join(c.leader_lists(leaders), ["tenant_id", "category"])
+        .select(
+            *REQUEST,
+            "max_id",
+            F.col("affinity_score").alias("category_score"),
+            F.explode(F.slice("ids", F.lit(1), F.col("needed"))).alias("product_id"),
+        )
+        .filter(_in_top())
+        .select(*REQUEST, "product_id", "category_score",
+                F.lit(None).cast("double").alias("confidence"))
+    )
+
+
+def related_pairs(cooc: DataFrame) -> DataFrame:
+    return cooc.filter(F.col("product_a_id") != F.col("product_b_id")).select(
         "tenant_id",
         F.col("product_a_id").alias("anchor_product_id"),
         F.col("product_b_id").alias("product_id"),
         "confidence",
     )
+
+
+def pairs_in_categories(
+    anchors: DataFrame, pairs: DataFrame, categories: DataFrame, leaders: DataFrame
+) -> DataFrame:
+    """Related products that are among the request's affinity products, with both scores.
+
+    Only a category's leaders can be, so each anchor and category meets few pairs.
+    """
     to_leaders = pairs.join(leaders, ["tenant_id", "product_id"])
-    in_category = (
-        anchors.join(categories.select(*REQUEST, "category"), REQUEST)
+    mine = categories.select(*REQUEST, "category", "affinity_score", "max_id")
+    return (
+        anchors.join(mine, REQUEST)
         .join(to_leaders, ["tenant_id", "anchor_product_id", "category"])
-        .select(*REQUEST, "anchor_product_id", "product_id", "confidence")
+        .filter(_in_top())
+        .select(*REQUEST, "product_id", F.col("affinity_score").alias("category_score"),
+                "confidence")
     )
 
+
+def best_pairs(
+    anchors: DataFrame, requests: DataFrame, pairs: DataFrame, categories: DataFrame
+) -> DataFrame:
+    """Related products that can be shown on their pair score alone.
+
+    A product is behind all better placed ones of the anchor it scores through, and it
+    cannot be shown with ``needed`` of these ahead, nor below the request's ``floor``.
+    Places are grouped in blocks, and a request joins only the blocks it needs, so an
+    anchor with very many pairs costs no more than another.
+    """
+    score = F.round(c.blended_score(F.lit(0.0), F.col("confidence")), 4)
     best_first = Window.partitionBy("tenant_id", "anchor_product_id").orderBy(
-        F.desc(F.round(c.blended_score(F.lit(0.0), F.col("confidence")), 4)), "product_id"
+        F.desc("pair_score"), "product_id"
     )
-    placed = pairs.withColumn("place", F.row_number().over(best_first)).withColumn(
-        "block", F.floor((F.col("place") - 1) / BLOCK).cast("int")
+    placed = (
+        pairs.withColumn("pair_score", score)
+        .withColumn("place", F.row_number().over(best_first))
+        .withColumn("block", F.floor((F.col("place") - 1) / BLOCK).cast("int"))
     )
+    floors = categories.groupBy(*REQUEST).agg(F.max("floor").alias("floor"))
     needed = F.col("limit") + F.size("exclude_product_ids")
+    last_block = F.floor((F.col("needed") - 1) / BLOCK).cast("int")
     wanted = (
         anchors.join(requests.select(*REQUEST, needed.alias("needed")), REQUEST)
-        .withColumn(
-            "block",
-            F.explode(F.sequence(F.lit(0), F.floor((F.col("needed") - 1) / BLOCK).cast("int"))),
-        )
+        .join(floors, REQUEST, "left")
+        .withColumn("block", F.explode(F.sequence(F.lit(0), last_block)))
     )
-    best = (
+    return (
         wanted.join(placed, ["tenant_id", "anchor_product_id", "block"])
-        .filter(F.col("place") <= F.col("needed"))
-        .select(*REQUEST, "anchor_product_id", "product_id", "confidence")
+        .filter(
+            (F.col("place") <= F.col("needed"))
+            & (F.col("floor").isNull() | (F.col("pair_score") >= F.col("floor")))
+        )
+        .select(*REQUEST, "product_id", F.lit(None).cast("double").alias("category_score"),
+                "confidence")
     )
-    return in_category.unionByName(best)
 
 
 def recommend(
@@ -85,24 +184,29 @@ def recommend(
 ) -> DataFrame:
     """Ranked items per request: affinity blended with related products, else popularity.
 
+    The result is that of blending all 100 affinity products with all related products of
+    the anchors, but rows that cannot be shown are never made: every row left out is
+    behind ``limit`` plus the number of exclusions others (``needed``).
+
     Requests are expected in range (see ``check_requests``), scores and confidences not
     negative. ``events`` needs the last 30 days only.
     """
     requests = with_defaults(requests)
-    leaders = c.category_leaders(products)
-    known = feature_lookup(requests, features).select(*REQUEST, "category_affinity")
-    categories = materialize(
-        c.leading_categories(known, leaders, keys=REQUEST), "leading-categories"
-    )
-    affinity = c.expand_categories(categories, leaders, 100, REQUEST)
+    leaders = c.category_leaders(products, TOP)
+    categories = materialize(request_categories(requests, features, leaders), "categories")
     anchors = materialize(
         requests.select(*CUSTOMER, "request_id")
         .join(c.recent_anchors(events, as_of), CUSTOMER)
         .select(*REQUEST, F.col("product_id").alias("anchor_product_id")),
         "anchors",
     )
-    related = deciding_pairs(anchors, requests, cooc, categories, leaders)
-    blended = exclude_products(c.blend_candidates(affinity, related), requests)
+    pairs = related_pairs(cooc)
+    rows = (
+        best_by_category(categories, leaders)
+        .unionByName(pairs_in_categories(anchors, pairs, categories, leaders))
+        .unionByName(best_pairs(anchors, requests, pairs, categories))
+    )
+    blended = exclude_products(c.merge_candidates(rows), requests)
     ranked = materialize(c.rank_candidates(blended, requests), "ranked")
 
     popular = c.popularity(events, products, as_of, n=3 * MAX_LIMIT)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,25 +123,27 @@ def test_affinity_stops_at_one_hundred_over_tied_categories(spark):
     assert rows(got, -F.col("category_score"), "product_id") == expected
 
 
-@pytest.mark.parametrize("block", [1, 64])
+@pytest.mark.parametrize("block,top", [(1, 3), (64, 10), (2, 100)])
 @pytest.mark.parametrize("limit", [1, 3, 8])
-def test_deciding_pairs_rank_like_all_pairs(spark, monkeypatch, block, limit):
-    """Many rules per anchor, ties, exclusions: the pruned look-ups change nothing."""
+def test_pruned_rows_rank_like_all_rows(spark, monkeypatch, block, top, limit):
+    """Many pairs per anchor, ties within and over categories, scores that round alike,
+    exclusions: leaving out rows that cannot be shown changes nothing."""
     monkeypatch.setattr(plan, "BLOCK", block)
+    monkeypatch.setattr(plan, "TOP", top)
+    pick = random.Random(block * 100 + limit)
     ids = [f"p{i:02d}" for i in range(40)]
-    catalogue = [(p, "A", f"c{i % 4}", i % 7 != 0) for i, p in enumerate(ids)]
-    rules = [
-        ("A", a, b, 3, ((i * 7 + j * 3) % 9 + 1) / 10)
-        for i, a in enumerate(ids) for j, b in enumerate(ids) if a != b and (i + j) % 2
-    ]
+    catalogue = [(p, "A", f"c{pick.randrange(5)}", pick.random() > 0.15) for p in ids]
+    rules = [("A", a, b, 3, pick.randrange(1, 11) / 10)
+             for a in ids for b in ids if a != b and pick.random() < 0.5]
     history, scores, asked = [], [], []
-    for c in range(6):
-        for k in range(4):
-            history.append(("A", f"u{c}", "product_view", ids[(c * 5 + k * 3) % 40],
-                            NOW - (k + 1) * HOUR))
-        if c % 3:
-            scores.append(("A", f"u{c}", {f"c{c % 4}": float(c % 2), "c1": 1.0}))
-        asked.append(("A", f"u{c}", limit, ids[c: c + 5 * c]))
+    for c in range(14):
+        history += [("A", f"u{c}", "product_view", p, NOW - (k + 1) * HOUR)
+                    for k, p in enumerate(pick.sample(ids, pick.randrange(0, 6)))]
+        if c % 7:
+            some = pick.sample(range(5), pick.randrange(1, 6))
+            scores.append(("A", f"u{c}", {
+                f"c{g}": pick.choice([0.0, 0.25, 0.5, 0.50001, 1.0, 1.0, 3.0]) for g in some}))
+        asked.append(("A", f"u{c}", limit, pick.sample(ids, pick.choice([0, 0, 2, 10, 30]))))
     ev, pr, fe = events(spark, history), products(spark, catalogue), features(spark, scores)
     ru, rq = cooc(spark, rules), requests(spark, asked)
     got = plan.recommend(rq, ev, pr, fe, ru, NOW)
@@ -148,11 +152,12 @@ def test_deciding_pairs_rank_like_all_pairs(spark, monkeypatch, block, limit):
     related = co.related_for_anchors(
         rq.select("tenant_id", "customer_id", "request_id")
         .join(anchors, ["tenant_id", "customer_id"]), ru)
-    affinity = cand.affinity_candidates(req.feature_lookup(rq, fe), pr, keys=req.REQUEST)
+    affinity = cand.affinity_candidates(req.feature_lookup(rq, fe), pr, top, keys=req.REQUEST)
     kept = req.exclude_products(cand.blend_candidates(affinity, related), rq)
-    plain = cand.rank_candidates(kept, rq)
+    popular = cand.popularity(ev, pr, NOW, 150)
+    plain = kept.unionByName(cand.popularity_fallback(rq, kept, popular))
     columns = ["request_id", "rank", "product_id", "score", "reason"]
-    assert rows(got, *columns) == rows(plain, *columns)
+    assert rows(got, *columns) == rows(cand.rank_candidates(plain, rq), *columns)
 
 
 def test_anchor_is_not_its_own_candidate(spark):
