@@ -11,8 +11,13 @@ from basketry.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = local_session(
-        4, shuffle_partitions=4,
-        **{"spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse"))},
+        4,
+        shuffle_partitions=2,
+        **{
+            "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
+            # Compiling code costs more than running it on a few rows.
+            "spark.sql.codegen.wholeStage": "false",
+        },
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
