@@ -41,15 +41,29 @@ def new_events(events: DataFrame, last_seen: DataFrame) -> DataFrame:
     )
 
 
-def new_event_bounds(events: DataFrame, last_seen: DataFrame) -> DataFrame:
-    """Latest time and number of the new events per tenant; quiet tenants have no row."""
+def fresh_customers(events: DataFrame, last_seen: DataFrame) -> DataFrame:
+    """Customers with new events: the latest time and the number of these.
+
+    One scan that answers both ``new_event_bounds`` and ``affected_customers``.
+    """
     return (
         new_events(events, last_seen)
-        .groupBy("tenant_id")
+        .groupBy(*CUSTOMER)
         .agg(F.max("timestamp").alias("max_ts"), F.count("*").alias("new_events"))
     )
 
 
+def new_event_bounds(events: DataFrame, last_seen: DataFrame) -> DataFrame:
+    """Latest time and number of the new events per tenant; quiet tenants have no row."""
+    return bounds_of(fresh_customers(events, last_seen))
+
+
+def bounds_of(fresh: DataFrame) -> DataFrame:
+    return fresh.groupBy("tenant_id").agg(
+        F.max("max_ts").alias("max_ts"), F.sum("new_events").alias("new_events")
+    )
+
+
 def affected_customers(events: DataFrame, last_seen: DataFrame, bounds: DataFrame) -> DataFrame:
     """Customers with an event after the checkpoint and not after the bound."""
     return (

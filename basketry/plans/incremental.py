@@ -33,15 +33,22 @@ def incremental_features(
     checkpoints: DataFrame,
     as_of: str | datetime,
     job: str = FEATURE_JOB,
+    recent: DataFrame | None = None,
 ) -> IncrementalFeatures:
     """Full history of the affected customers, the stored row for everyone else.
 
+    New events are looked for in ``recent``, by default in all ``events``. A caller who
+    knows no tenant's checkpoint is older than some day passes the lake from that day, so
+    the search reads only those folders.
+
     A late event not after the checkpoint is noticed only once its customer has a newer
-    one. Events must not change during the run. Without new events nothing changes.
+    one. Events must not change during the run, so every new event is within the bound.
+    Without new events nothing changes.
     """
     last_seen = inc.read_checkpoints(checkpoints, job)
-    bounds = materialize(inc.new_event_bounds(events, last_seen), "bounds")
-    affected = materialize(inc.affected_customers(events, last_seen, bounds), "affected")
+    searched = events if recent is None else recent
+    affected = materialize(inc.fresh_customers(searched, last_seen), "fresh")
+    bounds = materialize(inc.bounds_of(affected), "bounds")
     updates = customer_features(events, products, as_of, affected)
     updates = (
         updates.drop("updated_at")
@@ -79,6 +86,7 @@ def run_incremental(
     features_root: str,
     checkpoints_root: str,
     as_of: str | datetime,
+    recent: DataFrame | None = None,
 ) -> DataFrame:
     """One run on stored tables: features first, then checkpoints; returns the report.
 
@@ -90,6 +98,7 @@ def run_incremental(
         tables.current(spark, features_root, CUSTOMER_FEATURES),
         tables.current(spark, checkpoints_root, CHECKPOINTS),
         as_of,
+        recent=recent,
     )
     report = materialize(result.report, "report")
     if report.filter(F.col("processed_events") > 0).isEmpty():

@@ -17,6 +17,7 @@ def spark(tmp_path_factory):
             "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
             # Compiling code costs more than running it on a few rows.
             "spark.sql.codegen.wholeStage": "false",
+            "spark.sql.maxMetadataStringLength": "2000",
         },
     )
     session.sparkContext.setLogLevel("ERROR")
