@@ -27,7 +27,7 @@ from basketry.plans.recommend import (
     recommend,
 )
 from basketry.plans.refresh_cooccurrence import refresh_cooccurrence
-from basketry.schemas import CUSTOMER, DECISIONS, FEATURE_JOB
+from basketry.schemas import COOCCURRENCE, CUSTOMER, DECISIONS, FEATURE_JOB
 from basketry.session import configure, materialize, shared_dir
 from basketry.sources import lake, tables
 from basketry.sources import testbed as tb
@@ -305,7 +305,7 @@ def replaced_tenants(spark, sf_dir):
     refresh_cooccurrence(events, path, AS_OF)
     early = events.filter("tenant_id = 't0' AND timestamp < timestamp '2024-01-06'")
     refresh_cooccurrence(early, path, AS_OF)
-    return spark.read.parquet(path).select(
+    return spark.read.schema(COOCCURRENCE).parquet(path).select(
         "tenant_id", "product_a_id", "product_b_id", "co_count", "confidence"
     )
 

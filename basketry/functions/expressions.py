@@ -47,24 +47,27 @@ def is_type(name: str) -> Column:
     return F.col("event_type") == name
 
 
-def revenue(properties: Column, on_bad: str = "fail") -> Column:
-    """Revenue from the JSON text, 0 when absent.
+def parsed_revenue(properties: Column, on_bad: str = "fail") -> Column:
+    """Revenue from the JSON text, NULL when absent.
 
-    ``on_bad="fail"`` raises on text that is no number, ``"null"`` counts it as 0.
-    JSON can spell the key only literally or with a ``\\u`` escape, so text with
-    neither is not parsed at all.
+    ``on_bad="fail"`` raises on text that is no number, ``"null"`` gives NULL. JSON can
+    spell the key only literally or with a ``\\u`` escape, so text with neither is not
+    parsed at all.
     """
     text = F.when(
         properties.contains("revenue") | properties.contains("\\u"),
         F.get_json_object(properties, "$.revenue"),
     )
     if on_bad == "fail":
-        amount = text.cast(REVENUE_TYPE)
-    elif on_bad == "null":
-        amount = text.try_cast(REVENUE_TYPE)
-    else:
-        raise ValueError(f"on_bad must be 'fail' or 'null', not {on_bad!r}")
-    return F.coalesce(amount, F.lit(0).cast(REVENUE_TYPE))
+        return text.cast(REVENUE_TYPE)
+    if on_bad == "null":
+        return text.try_cast(REVENUE_TYPE)
+    raise ValueError(f"on_bad must be 'fail' or 'null', not {on_bad!r}")
+
+
+def revenue(properties: Column, on_bad: str = "fail") -> Column:
+    """``parsed_revenue``, 0 when absent."""
+    return F.coalesce(parsed_revenue(properties, on_bad), F.lit(0).cast(REVENUE_TYPE))
 
 
 def affinity_weight(ts: Column, as_of: str | datetime | Column) -> Column:

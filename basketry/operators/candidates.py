@@ -196,17 +196,22 @@ def rank_candidates(candidates: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def popularity_fallback(
-    requests: DataFrame, candidates: DataFrame, popular: DataFrame
+    requests: DataFrame, candidates: DataFrame, popular: DataFrame, shown_only: bool = False
 ) -> DataFrame:
     """For requests without any candidate, the tenant's top ``3 * limit`` popular products.
 
     Exclusions apply after the cut. ``popular`` holds at most ``3 * MAX_LIMIT`` rows per
     tenant, so copying it to each salt is cheap and splits the requests of a large tenant.
+    ``shown_only`` leaves out rows behind ``limit`` plus the number of exclusions others,
+    which ranking would drop.
     """
+    reach = 3 * F.col("limit")
+    if shown_only:
+        reach = F.least(reach, F.col("limit") + F.size("exclude_product_ids"))
     waiting = requests.join(candidates.select(*REQUEST).distinct(), REQUEST, "left_anti")
     salted = waiting.select(
         *REQUEST,
-        "limit",
+        reach.alias("reach"),
         F.pmod(F.xxhash64("request_id"), F.lit(SALTS)).cast("int").alias("salt"),
     )
     copies = popular.filter(F.col("rank") <= 3 * MAX_LIMIT).select(
@@ -217,7 +222,7 @@ def popularity_fallback(
         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
     )
     chosen = salted.join(copies, ["tenant_id", "salt"]).filter(
-        F.col("place") <= 3 * F.col("limit")
+        F.col("place") <= F.col("reach")
     )
     return exclude_products(
         chosen.select(

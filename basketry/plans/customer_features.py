@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.functions.expressions import is_type, moment, revenue
+from basketry.functions.expressions import is_type, moment, parsed_revenue
 from basketry.operators import features as f
 from basketry.operators import sessions as s
 from basketry.schemas import CUSTOMER
@@ -29,11 +29,15 @@ def customer_features(
     """
     us = F.unix_micros("timestamp")
     bought = is_type("purchase")
-    amount = revenue(F.col("properties"), on_bad)
-    # The product makes a malformed amount on any event fail, not only on purchases.
-    sold = amount * F.when(bought, F.lit(1)).otherwise(F.lit(0)).cast("decimal(1,0)")
+    amount = F.col("amount")
+    # Every event's amount is looked at, so a malformed one fails on any event type.
+    sold = F.when(amount.isNotNull() & bought, amount)
+    priced = events.select(
+        *CUSTOMER, "event_type", "product_id", "timestamp",
+        parsed_revenue(F.col("properties"), on_bad).alias("amount"),
+    )
     slots = s.slot_rows(
-        events,
+        priced,
         s.GAP,
         *f.count_measures(),
         F.min(F.when(bought, us)).alias("first_buy_us"),

@@ -210,7 +210,7 @@ def recommend(
     ranked = materialize(c.rank_candidates(blended, requests), "ranked")
 
     popular = c.popularity(events, products, as_of, n=3 * MAX_LIMIT)
-    fallback = c.popularity_fallback(requests, ranked, popular)
+    fallback = c.popularity_fallback(requests, ranked, popular, shown_only=True)
     return ranked.unionByName(c.rank_candidates(fallback, requests))
 
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 TENANT = ["tenant_id"]
-CUSTOMER = ["tenant_id", "customer_id"]
+# Customer first: it tells rows apart sooner when sorting.
+CUSTOMER = ["customer_id", "tenant_id"]
 PAIR = ["tenant_id", "product_a_id", "product_b_id"]
 
 # Names and limits that results and stored rows depend on.
