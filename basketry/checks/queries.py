@@ -17,7 +17,6 @@ from basketry.operators import increments as inc
 from basketry.operators import ingest, quality, reports, sessions
 from basketry.operators import requests as req
 from basketry.operators.enrich import enrich_events
-from basketry.operators.merge import upsert_by_key
 from basketry.operators.tenancy import tenant_scope
 from basketry.plans.customer_features import customer_features
 from basketry.plans.incremental import incremental_features
@@ -240,12 +239,20 @@ def advanced_checkpoints(spark, sf_dir):
 
 @query
 def upserted_counts(spark, sf_dir):
-    """Counts of the first 20 days, replaced by full counts for later customers."""
+    """Stored counts of the first 20 days, replaced by full counts for later customers."""
     events = tb.events(spark, sf_dir)
-    early = feat.activity_counts(events.filter("timestamp < timestamp '2024-01-21'"))
+    layout = (
+        "tenant_id STRING, customer_id STRING, total_views BIGINT, total_cart_adds BIGINT,"
+        " total_purchases BIGINT"
+    )
+    root = new_folder(spark, "counts")
+    tables.publish(
+        feat.activity_counts(events.filter("timestamp < timestamp '2024-01-21'")), root
+    )
     late = events.filter("timestamp >= timestamp '2024-01-21'").select(*CUSTOMER).distinct()
     updates = feat.activity_counts(events).join(late, CUSTOMER, "left_semi")
-    return upsert_by_key(early, updates, CUSTOMER)
+    tables.upsert_table(updates, root, CUSTOMER, layout)
+    return tables.current(spark, root, layout)
 
 
 def _increment(spark, sf_dir):

@@ -11,6 +11,7 @@ from basketry.functions.expressions import moment, stable_uuid
 from basketry.operators.requests import REQUEST
 from basketry.schemas import MODEL_VERSION
 
+RANKED_ITEM = "struct<rank:int,product_id:string,score:double,reason:string>"
 PERCENTILES = {"p50": 0.50, "p90": 0.90, "p95": 0.95, "p99": 0.99}
 
 
@@ -28,7 +29,7 @@ def log_decisions(
     item = F.struct("rank", "product_id", "score", "reason")
     lists = recs.groupBy(*REQUEST).agg(F.array_sort(F.collect_list(item)).alias("ranked"))
     items = F.transform(
-        F.coalesce("ranked", F.array().cast("array<struct<rank:int,product_id:string,score:double,reason:string>>")),
+        F.coalesce("ranked", F.array().cast(f"array<{RANKED_ITEM}>")),
         lambda r: F.struct(r["product_id"].alias("product_id"), r["score"].alias("score"),
                            r["reason"].alias("reason")),
     )

@@ -89,9 +89,9 @@ def requests(spark: SparkSession, sf_dir: str, limit: int = 8, exclude: bool = F
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request bodies holding the events: fixed runs of 2,400 ids, split by tenant.
 
-    Every third pair of runs travels as one body of up to 1,600 events, and the run that
-    holds an id ending in 4999 carries one event without a customer, so that both
-    rejection rules are met. A body has a fixed greatest size.
+    Of every three runs, the last two travel as one body of up to 1,600 events, and the
+    event with every 5,000th id has no customer, so both rejection rules are met. A body
+    has a fixed greatest size.
     """
     run = F.floor(F.col("id").cast("bigint") / 2400)
     body_no = F.when(run % 3 == 2, run - 1).otherwise(run)
@@ -103,10 +103,11 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.from_json("properties", "revenue DOUBLE").alias("properties"),
         F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
     )
+    numbered = F.struct(F.col("id").cast("bigint"), record.alias("record"))
     return (
         events(spark, sf_dir)
         .groupBy("tenant_id", body_no.alias("body_no"))
-        .agg(F.array_sort(F.collect_list(F.struct(F.col("id").cast("bigint"), record.alias("record")))).alias("es"))
+        .agg(F.array_sort(F.collect_list(numbered)).alias("es"))
         .select(
             F.concat_ws("-", "tenant_id", F.col("body_no").cast("string")).alias("batch_id"),
             "tenant_id",
