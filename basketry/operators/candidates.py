@@ -201,9 +201,9 @@ def popularity_fallback(
     """For requests without any candidate, the tenant's top ``3 * limit`` popular products.
 
     Exclusions apply after the cut. ``popular`` holds at most ``3 * MAX_LIMIT`` rows per
-    tenant, so copying it to each salt is cheap and splits the requests of a large tenant.
-    ``shown_only`` leaves out rows behind ``limit`` plus the number of exclusions others,
-    which ranking would drop.
+    tenant, so copying it to each salt is cheap and splits the requests of a large tenant,
+    whichever side Spark streams. ``shown_only`` leaves out rows behind ``limit`` plus the
+    number of exclusions others, which ranking would drop.
     """
     reach = 3 * F.col("limit")
     if shown_only:
@@ -220,7 +220,7 @@ def popularity_fallback(
         F.col("score").alias("cooccurrence_score"),
         F.col("rank").alias("place"),
         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
-    )
+    ).repartition(SALTS, "tenant_id", "salt")
     chosen = salted.join(copies, ["tenant_id", "salt"]).filter(
         F.col("place") <= F.col("reach")
     )
