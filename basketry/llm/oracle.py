@@ -48,6 +48,41 @@ FROM words w JOIN plan p ON w.source IS NOT DISTINCT FROM p.source
 LEFT JOIN boundary b ON w.source IS NOT DISTINCT FROM b.source
 """
 
+ORACLE["op6_exact_top_k"] = """
+WITH vectors AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+  FROM vectors q JOIN vectors c ON q.r <> c.r WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+ORACLE["op7_embedding_near_dedup"] = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+), usable AS (
+  SELECT * FROM vectors
+  WHERE label IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reach AS (
+  SELECT vec_id AS x, vec_id AS y FROM vectors
+  UNION
+  SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), smallest AS (
+  SELECT x, min(y) AS component_id FROM reach GROUP BY x
+)
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.x = vec_id)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM vectors JOIN smallest ON x = vec_id
+"""
+
 ORACLE["op9_line_dedup"] = """
 WITH numbered AS (SELECT *, row_number() OVER () AS r FROM documents
 ), parts AS (
