@@ -75,4 +75,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         print_of = seen
     else:
         raise RuntimeError("the components did not settle")
-    return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    ties = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return ties.union(now.select("b", "b").distinct())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import embedding_dedup, line_dedup, mixing, topk
+from basketry.llm import embedding_dedup, line_dedup, mixing, ngram_join, topk
 from basketry.llm._ship import ship
 
 
@@ -32,6 +32,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_source_mix, op6_exact_top_k, op7_embedding_near_dedup, op9_line_dedup)
+    f.__name__: f for f in (op5_source_mix, op6_exact_top_k, op7_embedding_near_dedup, op9_line_dedup, op10_ngram_jaccard_join)
 }

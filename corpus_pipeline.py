@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import line_dedup, mixing
+from basketry.llm import line_dedup, mixing, ngram_join
 from basketry.llm._ship import ship
 from basketry.session import materialize
 
@@ -20,6 +20,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return kept.withColumn("n_chars", changed).select(docs.columns)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id; documents without an id stay."""
+    ship(spark)
+    classes = ngram_join.near_duplicates(docs)
+    gone = materialize(classes.where("doc_id <> class_id").select("doc_id").distinct(), "duplicates")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
     return mixing.mixed(docs)
@@ -27,6 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("line_dedup", drop_repeated_lines),
+    ("ngram_join", drop_near_duplicates),
     ("mix_sources", mix_sources),
 ]
 
