@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import embedding_dedup, line_dedup, mixing, ngram_join, topk
+from basketry.llm import embedding_dedup, line_dedup, mixing, ngram_join, piece_codec, topk
 from basketry.llm._ship import ship
 
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.codec_report(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -37,5 +41,5 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_source_mix, op6_exact_top_k, op7_embedding_near_dedup, op9_line_dedup, op10_ngram_jaccard_join)
+    f.__name__: f for f in (op4_piece_codec, op5_source_mix, op6_exact_top_k, op7_embedding_near_dedup, op9_line_dedup, op10_ngram_jaccard_join)
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import line_dedup, mixing, ngram_join
+from basketry.llm import line_dedup, mixing, ngram_join, piece_codec
 from basketry.llm._ship import ship
 from basketry.session import materialize
 
@@ -33,10 +33,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, source, n_tokens, ids): every document as piece ids."""
+    ship(spark)
+    encoded = piece_codec.encode(docs.select("doc_id", "source", "text"))
+    return encoded.select("doc_id", "source", F.size("__ids").cast("long").alias("n_tokens"), F.col("__ids").alias("ids"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("line_dedup", drop_repeated_lines),
     ("ngram_join", drop_near_duplicates),
     ("mix_sources", mix_sources),
+    ("piece_codec", encode_pieces),
 ]
 
 
