@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import embedding_dedup, line_dedup, mixing, ngram_join, piece_codec, topk
+from basketry.llm import embedding_dedup, language, line_dedup, mixing, ngram_join, piece_codec, topk
 from basketry.llm._ship import ship
 
 
@@ -32,6 +32,10 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_report(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
@@ -41,5 +45,5 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_piece_codec, op5_source_mix, op6_exact_top_k, op7_embedding_near_dedup, op9_line_dedup, op10_ngram_jaccard_join)
+    f.__name__: f for f in (op4_piece_codec, op5_source_mix, op6_exact_top_k, op7_embedding_near_dedup, op8_language_id, op9_line_dedup, op10_ngram_jaccard_join)
 }
