@@ -7,11 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import line_dedup, mixing, ngram_join, piece_codec
+from basketry.llm import line_dedup, mixing, ngram_join, piece_codec, toxicity
 from basketry.llm._ship import ship
+from basketry.llm._text import crc_bucket
 from basketry.session import materialize
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic; the model learns from all labels but those of the held-out fold."""
+    ship(spark)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    field = toxicity.train(docs, labels.where(crc_bucket(F.col("doc_id"), 5) != 0))
+    return toxicity.score(docs, field).where("__score < 0.5").select(docs.columns)
+
+
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take repeated lines out of the texts; every document stays, ``n_chars`` follows its text."""
     ship(spark)
@@ -41,6 +50,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
     ("line_dedup", drop_repeated_lines),
     ("ngram_join", drop_near_duplicates),
     ("mix_sources", mix_sources),
