@@ -2,8 +2,46 @@
 
 from __future__ import annotations
 
+from basketry.llm.license_texts import TEMPLATES
+
 ORACLE: dict[str, str] = {}
 
+_TEMPLATES = ", ".join("({}, {})".format(*("'" + x.replace("'", "''") + "'" for x in item)) for item in TEMPLATES.items())
+
+ORACLE["op1_license_scan"] = f"""
+WITH numbered AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), units AS (
+  SELECT r, 'text' AS unit, text AS part FROM numbered
+  UNION ALL SELECT r, 'block', unnest(string_split(text, chr(10) || chr(10))) FROM numbered
+  UNION ALL SELECT r, 'line', unnest(string_split(text, chr(10))) FROM numbered
+), worded AS (
+  SELECT row_number() OVER () AS u, r, unit, regexp_extract_all(part, '[A-Za-z0-9]+') AS w FROM units
+), pairs AS (
+  SELECT u, p, count(*) AS n
+  FROM (SELECT u, unnest(list_transform(range(1, len(w)), lambda i: lower(w[i]) || ' ' || lower(w[i + 1]))) AS p FROM worded)
+  GROUP BY u, p
+), sizes AS (
+  SELECT u, sum(n) AS size FROM pairs GROUP BY u
+), templates AS (
+  SELECT license, regexp_extract_all(body, '[A-Za-z0-9]+') AS w FROM (VALUES {_TEMPLATES}) t(license, body)
+), known AS (
+  SELECT license, p, count(*) AS n
+  FROM (SELECT license, unnest(list_transform(range(1, len(w)), lambda i: lower(w[i]) || ' ' || lower(w[i + 1]))) AS p FROM templates)
+  GROUP BY license, p
+), known_sizes AS (
+  SELECT license, sum(n) AS size FROM known GROUP BY license
+), matches AS (
+  SELECT r, license, 2.0::DOUBLE * shared / (s.size + k.size)::DOUBLE AS dice
+  FROM (SELECT u, license, sum(least(pairs.n, known.n))::DOUBLE AS shared FROM pairs JOIN known USING (p) GROUP BY u, license)
+  JOIN sizes s USING (u) JOIN known_sizes k USING (license) JOIN worded USING (u)
+  WHERE 2.0::DOUBLE * shared / (s.size + k.size)::DOUBLE >= 0.8
+)
+SELECT doc_id, count(license) AS n_matches, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses,
+       (list(license ORDER BY dice DESC, license))[1] AS best_license, coalesce(max(dice), 0.0::DOUBLE) AS best_dice
+FROM numbered LEFT JOIN matches USING (r) GROUP BY r, doc_id
+"""
+
 # Sources are taken in turn of their bound per weight: a source is at its bound if the level of
 # those not yet taken is above it.
 ORACLE["op5_source_mix"] = """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import embedding_dedup, language, line_dedup, mixing, ngram_join, piece_codec, topk, toxicity
+from basketry.llm import embedding_dedup, language, licenses, line_dedup, mixing, ngram_join, piece_codec, topk, toxicity
 from basketry.llm._ship import ship
 
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,5 +53,5 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_toxicity, op4_piece_codec, op5_source_mix, op6_exact_top_k, op7_embedding_near_dedup, op8_language_id, op9_line_dedup, op10_ngram_jaccard_join)
+    f.__name__: f for f in (op1_license_scan, op2_toxicity, op4_piece_codec, op5_source_mix, op6_exact_top_k, op7_embedding_near_dedup, op8_language_id, op9_line_dedup, op10_ngram_jaccard_join)
 }
