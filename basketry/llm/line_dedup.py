@@ -145,7 +145,10 @@ def dedup_lines(docs: DataFrame, least: int = LEAST, segments: int = _bloom.SEGM
     marked = materialize(docs.mapInArrow(_suspects(twice, least), f"{fields}, __n_lines long, __digests array<binary>"), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"))
     suspects = marked.where("__digests is not null").select(place.alias("place"), F.explode("__digests").alias("digest"))
-    repeated = suspects.groupBy("digest").agg(F.min("place").alias("first"), F.max("place").alias("end")).where("first < end")
+    # Written, so that the join below has plain shuffles on both sides and Spark can split a frequent digest.
+    repeated = materialize(
+        suspects.groupBy("digest").agg(F.min("place").alias("first"), F.max("place").alias("end")).where("first < end"), "repeated"
+    )
     gone = (
         suspects.join(repeated.select("digest", "first"), "digest")
         .where("place > first")
