@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import embedding_dedup, language, licenses, line_dedup, mixing, ngram_join, piece_codec, topk, toxicity
+from basketry.llm import embedding_dedup, language, licenses, line_dedup, lm, mixing, ngram_join, piece_codec, topk, toxicity
 from basketry.llm._ship import ship
 
 
@@ -24,6 +24,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_report(table(spark, sf_dir, "documents"))
+
+
 def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.codec_report(table(spark, sf_dir, "documents"))
 
@@ -53,5 +57,5 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_toxicity, op4_piece_codec, op5_source_mix, op6_exact_top_k, op7_embedding_near_dedup, op8_language_id, op9_line_dedup, op10_ngram_jaccard_join)
+    f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_lm_score, op4_piece_codec, op5_source_mix, op6_exact_top_k, op7_embedding_near_dedup, op8_language_id, op9_line_dedup, op10_ngram_jaccard_join)
 }
