@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from basketry.llm import _pieces
 from basketry.llm._text import hashes, runs, tokens
 
 # Longer stretches are worked on one at a time.
 LONG = 512
+# Bytes of text encoded and decoded at a time by the report.
+REPORT_RUN = 1 << 20
 
 
 def _unknown(score: np.ndarray) -> float:
@@ -148,17 +151,22 @@ def encode_run(data: np.ndarray, at: np.ndarray, model: str = _pieces.MODEL) ->
     return flat, total[np.searchsorted(row, np.arange(len(at)))]
 
 
-def decode_run(ids: np.ndarray, offsets: np.ndarray, model: str = _pieces.MODEL) -> list[str]:
-    """Texts of runs of ids: marks are spaces, the first space goes, byte pieces are bytes, specials nothing."""
+@lru_cache(maxsize=4)
+def _surfaces(model: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes that the pieces stand for, end to end, and each one's place and length; specials have none."""
     p = _pieces.pieces(model)
     table = [s.replace(_pieces.SPACE.encode(), b" ") for s in p.surface]
     for b, i in enumerate(p.byte):
         if i >= 0:
             table[i] = bytes([b])
     length = np.array([len(s) for s in table] + [0])
-    flat = np.frombuffer(b"".join(table), np.uint8)
-    head = np.cumsum(length) - length
-    ids = np.where((ids >= 0) & (ids < len(table)), ids, len(table))
+    return np.frombuffer(b"".join(table), np.uint8), np.cumsum(length) - length, length
+
+
+def decode_run(ids: np.ndarray, offsets: np.ndarray, model: str = _pieces.MODEL) -> list[str]:
+    """Texts of runs of ids: marks are spaces, the first space goes, byte pieces are bytes, specials nothing."""
+    flat, head, length = _surfaces(model)
+    ids = np.where((ids >= 0) & (ids < len(length) - 1), ids, len(length) - 1)
     each = length[ids]
     total = np.concatenate([[0], np.cumsum(each)])
     out = flat[np.repeat(head[ids] - total[:-1], each) + np.arange(total[-1])].tobytes()
@@ -206,9 +214,23 @@ def decode(docs: DataFrame, model: str = _pieces.MODEL) -> DataFrame:
 
 
 def codec_report(docs: DataFrame, model: str = _pieces.MODEL) -> DataFrame:
-    """(doc_id, n_tokens, ids_hash, round_trip): whether decoding gives the text, in which a mark reads as a space."""
-    both = decode(encode(docs.select("doc_id", "text"), model), model)
-    same = F.col("__decoded") == F.translate(F.coalesce("text", F.lit("")), _pieces.SPACE, " ")
-    return both.select(
-        "doc_id", F.size("__ids").cast("long").alias("n_tokens"), F.xxhash64("__ids").alias("ids_hash"), same.alias("round_trip")
-    )
+    """(doc_id, n_tokens, ids_hash, round_trip): whether decoding gives the text, in which a mark reads as a space.
+
+    Encodes and decodes in one task, so that the ids, several times the size of the texts, stay in it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, at in runs(batch.column(1), REPORT_RUN):
+                ids, offsets = encode_run(data, at, model)
+                texts = (data[a:b].tobytes().replace(_pieces.SPACE.encode(), b" ").decode() for a, b in zip(at[:-1], at[1:]))
+                same = [x == y for x, y in zip(texts, decode_run(ids, offsets, model))]
+                packed = ids.astype("<i4").tobytes()
+                digest = [xxhash.xxh3_64_intdigest(packed[4 * a : 4 * b]) for a, b in zip(offsets[:-1], offsets[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, j - i), pa.array(np.diff(offsets)), pa.array(np.array(digest, np.uint64).view(np.int64)), pa.array(same, pa.bool_())],
+                    ["doc_id", "n_tokens", "ids_hash", "round_trip"],
+                )
+
+    fields = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_hash long, round_trip boolean"
+    return docs.select("doc_id", "text").mapInArrow(run, fields)
