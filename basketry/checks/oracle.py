@@ -54,25 +54,22 @@ def features(src: str, as_of: str, p: str = "") -> str:
   WHERE category IS NOT NULL
     AND event_type IN ('page_view', 'product_view', 'add_to_cart', 'purchase')
   GROUP BY 1, 2, 3),
-{p}lagged AS (
-  SELECT tenant_id, customer_id, cents, epoch_us(ts)
-    - epoch_us(lag(ts) OVER (PARTITION BY tenant_id, customer_id ORDER BY ts)) AS gap
-  FROM {src} WHERE event_type = 'purchase'),
 {p}buy AS (
   SELECT tenant_id, customer_id,
-    CAST(sum(gap) AS DOUBLE) / count(gap) / 86400000000.0::DOUBLE AS avg_days_between_purchases,
+    CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS DOUBLE) / nullif(count(*) - 1, 0)
+      / 86400000000.0::DOUBLE AS avg_days_between_purchases,
     CAST(sum(cents) AS DOUBLE) AS total_revenue_cents,
     CAST((2 * sum(CASE WHEN cents > 0 THEN cents END) + count(*) FILTER (WHERE cents > 0))
       // (2 * nullif(count(*) FILTER (WHERE cents > 0), 0)) AS DOUBLE) AS avg_order_value_cents
-  FROM {p}lagged GROUP BY 1, 2),
-{p}flag AS (
-  SELECT *, CASE WHEN lag(ts) OVER w IS NULL
-      OR ts - lag(ts) OVER w > INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS starts
-  FROM {src} WINDOW w AS (PARTITION BY tenant_id, customer_id ORDER BY ts)),
+  FROM {src} WHERE event_type = 'purchase' GROUP BY 1, 2),
+{p}opening AS (
+  SELECT DISTINCT tenant_id, customer_id, ts AS opened FROM {src} e
+  WHERE NOT EXISTS (SELECT 1 FROM {src} o WHERE o.tenant_id = e.tenant_id
+    AND o.customer_id = e.customer_id AND o.ts < e.ts AND o.ts >= e.ts - INTERVAL 30 MINUTE)),
 {p}num AS (
-  SELECT *, CAST(sum(starts) OVER (PARTITION BY tenant_id, customer_id ORDER BY ts
-      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS session_num
-  FROM {p}flag),
+  SELECT e.*, (SELECT count(*) FROM {p}opening s WHERE s.tenant_id = e.tenant_id
+      AND s.customer_id = e.customer_id AND s.opened <= e.ts) AS session_num
+  FROM {src} e),
 {p}win AS (
   SELECT tenant_id, customer_id, session_num, min(ts) AS session_start, max(ts) AS session_end,
     count(*) AS events, count(product_id) AS product_events
@@ -107,21 +104,25 @@ FEATURE_COLUMNS = """tenant_id, customer_id,
 
 
 def pairs(src: str = "ev", p: str = "") -> str:
-    """Co-occurrence CTEs; the rule CTE is ``{p}cooc``."""
-    return f"""{p}buys AS (
-  SELECT tenant_id, customer_id, product_id, ts FROM {src}
-  WHERE event_type = 'purchase' AND product_id IS NOT NULL),
+    """Co-occurrence CTEs; the rule CTE is ``{p}cooc``.
+
+    A buyer has one row per product with all times, and two products pair if some time of one
+    is followed by some time of the other soon enough.
+    """
+    return f"""{p}bought AS (
+  SELECT tenant_id, customer_id, product_id, list(ts) AS times FROM {src}
+  WHERE event_type = 'purchase' AND product_id IS NOT NULL GROUP BY ALL),
 {p}support AS (
-  SELECT tenant_id, product_id, count(DISTINCT customer_id) AS customer_support
-  FROM {p}buys GROUP BY 1, 2),
+  SELECT tenant_id, product_id, count(*) AS customer_support FROM {p}bought GROUP BY ALL),
 {p}cpairs AS (
-  SELECT DISTINCT a.tenant_id, a.customer_id, a.product_id AS product_a_id,
-    b.product_id AS product_b_id
-  FROM {p}buys a JOIN {p}buys b ON a.tenant_id = b.tenant_id AND a.customer_id = b.customer_id
-    AND a.product_id <> b.product_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 30 DAY),
+  SELECT f.tenant_id, f.customer_id, f.product_id AS product_a_id, g.product_id AS product_b_id
+  FROM {p}bought f, {p}bought g
+  WHERE (f.tenant_id, f.customer_id) = (g.tenant_id, g.customer_id) AND f.product_id <> g.product_id
+    AND list_bool_or(list_transform(f.times, lambda x: list_bool_or(list_transform(g.times,
+      lambda y: y BETWEEN x AND x + INTERVAL 30 DAY))))),
 {p}pcounts AS (
-  SELECT tenant_id, product_a_id, product_b_id, count(DISTINCT customer_id) AS co_count
-  FROM {p}cpairs GROUP BY 1, 2, 3 HAVING count(DISTINCT customer_id) >= 3),
+  SELECT tenant_id, product_a_id, product_b_id, count(*) AS co_count
+  FROM {p}cpairs GROUP BY ALL HAVING co_count >= 3),
 {p}cooc AS (
   SELECT c.tenant_id, product_a_id, product_b_id, CAST(co_count AS INTEGER) AS co_count,
     CAST(co_count AS DOUBLE) / CAST(customer_support AS DOUBLE) AS confidence
@@ -249,6 +250,9 @@ COUNT_5M = """count(*) FILTER (WHERE event_type IN ('page_view', 'product_view')
   count(*) FILTER (WHERE event_type = 'click') {w} AS last_5m_clicks,
   count(*) FILTER (WHERE event_type = 'product_view') {w} AS last_5m_product_views"""
 
+# The text of a UUID whose digits are the MD5 of an id.
+UUID_OF = "regexp_replace(md5({}), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')"
+
 SLIDING = """spread AS (
   SELECT ev.*, date_trunc('minute', ts) - to_minutes(n) AS window_start
   FROM ev, (SELECT unnest([0, 1, 2, 3, 4]) AS n))"""
@@ -283,8 +287,21 @@ ORACLE: dict[str, str] = {
         WHERE v.reason IS NULL""",
     ),
     "ingest_rejected": sql([EV, BODIES], "SELECT * FROM verdict WHERE reason IS NOT NULL"),
-    "lake_round_trip": sql(
-        [EV], f"SELECT {EVENT_COLUMNS} FROM ev WHERE ts >= TIMESTAMP '2024-01-10'"
+    "lake_round_trip": sql([EV], f"SELECT {EVENT_COLUMNS} FROM ev"),
+    "lake_range": sql(
+        [EV],
+        f"""SELECT {EVENT_COLUMNS} FROM ev WHERE tenant_id = 't1'
+          AND ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20'""",
+    ),
+    "ingest_twice": sql(
+        [EV, BODIES],
+        """SELECT tenant_id, customer_id, event_type, product_id, ts AS "timestamp"
+        FROM bodies JOIN verdict USING (batch_id, tenant_id) WHERE reason IS NULL""",
+    ),
+    "ingest_canonical_ids": sql(
+        [EV],
+        f"""SELECT {UUID_OF.format('tenant_id')} AS tenant_id, customer_id, event_type,
+          {UUID_OF.format('product_id')} AS product_id, ts AS "timestamp" FROM ev""",
     ),
     "enriched_events": sql(
         [EV, PR, ENR],
@@ -369,9 +386,9 @@ ORACLE: dict[str, str] = {
     ),
     "replaced_tenants": sql(
         [EV, pairs(),
-         "early AS (SELECT * FROM ev WHERE tenant_id = 't0' AND ts < TIMESTAMP '2024-01-06')",
+         "early AS (SELECT * FROM ev WHERE tenant_id = 't0' AND product_id IS DISTINCT FROM '3')",
          pairs("early", "e_")],
-        f"""SELECT {RULE_COLUMNS} FROM cooc WHERE tenant_id <> 't0'
+        f"""SELECT {RULE_COLUMNS} FROM cooc WHERE tenant_id = 't1'
         UNION ALL SELECT {RULE_COLUMNS} FROM e_cooc""",
     ),
     "related_products": sql(
@@ -480,15 +497,16 @@ FROM placed GROUP BY 1, 2""",
     ),
     "merged_features": sql(
         FEATS
-        + ["""clicks AS (SELECT tenant_id, customer_id, date_trunc('minute', max(ts)) AS window_start
-             FROM ev WHERE event_type = 'click' GROUP BY 1, 2)"""],
+        + ["""newest AS (SELECT tenant_id, customer_id, date_trunc('minute', max(ts)) AS window_start
+             FROM ev GROUP BY 1, 2)""",
+           f"""recent AS (SELECT ev.tenant_id, ev.customer_id, any_value(window_start) AS window_start,
+             {COUNT_5M.format(w='')} FROM ev JOIN newest USING (tenant_id, customer_id)
+             WHERE ts >= window_start AND ts < window_start + INTERVAL 5 MINUTE GROUP BY 1, 2)"""],
         """SELECT f.tenant_id, f.customer_id, CAST(f.total_views AS INTEGER) AS total_views,
-          window_start,
-          CASE WHEN window_start IS NOT NULL THEN (SELECT CAST(count(*) AS DOUBLE) FROM ev
-            WHERE ev.tenant_id = f.tenant_id AND ev.customer_id = f.customer_id
-              AND ev.event_type = 'click' AND ev.ts >= c.window_start
-              AND ev.ts < c.window_start + INTERVAL 5 MINUTE) END AS last_5m_clicks
-        FROM feat f LEFT JOIN clicks c USING (tenant_id, customer_id)""",
+          window_start, CAST(last_5m_views AS DOUBLE) AS last_5m_views,
+          CAST(last_5m_clicks AS DOUBLE) AS last_5m_clicks,
+          CAST(last_5m_product_views AS DOUBLE) AS last_5m_product_views
+        FROM feat f LEFT JOIN recent c USING (tenant_id, customer_id)""",
     ),
     "tenant_tiers": sql(
         [EV],

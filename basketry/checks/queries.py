@@ -25,6 +25,7 @@ from basketry.plans.recommend import (
     precompute_recommendations,
     recommend,
 )
+from basketry.plans.ingest import ingest_to_lake
 from basketry.plans.refresh_cooccurrence import refresh_cooccurrence
 from basketry.schemas import COOCCURRENCE, CUSTOMER, DECISIONS, FEATURE_JOB
 from basketry.session import configure, materialize, shared_dir
@@ -108,7 +109,47 @@ def ingest_rejected(spark, sf_dir):
 def lake_round_trip(spark, sf_dir):
     path = new_folder(spark, "lake")
     lake.write_events(tb.events(spark, sf_dir), path)
-    return lake.read_events(spark, path, since="2024-01-10").select(*EVENT_COLUMNS)
+    return lake.read_events(spark, path).select(*EVENT_COLUMNS)
+
+
+@query
+def lake_range(spark, sf_dir):
+    path = new_folder(spark, "lake")
+    lake.write_events(tb.events(spark, sf_dir), path)
+    return lake.read_events(spark, path, "t1", "2024-01-10", "2024-01-20").select(*EVENT_COLUMNS)
+
+
+@query
+def ingest_twice(spark, sf_dir):
+    """Bodies ingested twice are stored once."""
+    path = new_folder(spark, "lake")
+    for _ in range(2):
+        ingest_to_lake(tb.payloads(spark, sf_dir), path, f"{path}-rejected", uuid_ids=False)
+    return lake.read_events(spark, path).select(*EVENT_COLUMNS[1:])
+
+
+@query
+def ingest_canonical_ids(spark, sf_dir):
+    """UUIDs made from the test ids, written in five ways, come out in one."""
+    def spelled(name, turn):
+        h = F.md5(F.col(name))
+        long = F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+        forms = [long, F.upper(long), h, F.concat(F.lit("{"), long, F.lit("}")), F.concat(F.lit("urn:uuid:"), F.upper(long))]
+        return F.when(h.isNotNull(), F.element_at(F.array(*forms), (turn % 5 + 1).cast("int")))
+
+    number = F.col("id").cast("long")
+    item = F.struct(
+        "customer_id", "event_type", spelled("product_id", number).alias("product_id"),
+        F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
+    )
+    bodies = (
+        tb.events(spark, sf_dir)
+        .groupBy("tenant_id", F.floor(number / 900).alias("batch"))
+        .agg(F.to_json(F.struct(F.collect_list(item).alias("events"))).alias("body"))
+        .select(F.concat_ws("-", "tenant_id", "batch").alias("batch_id"), spelled("tenant_id", F.col("batch")).alias("tenant_id"), "body")
+    )
+    accepted, _ = ingest.ingest_events(bodies)
+    return accepted.select(*EVENT_COLUMNS[1:])
 
 
 # ---- features
@@ -130,7 +171,7 @@ def activity_counts(spark, sf_dir):
 
 @query
 def distinct_counts(spark, sf_dir):
-    return feat.distinct_counts(enrich_events(tb.events(spark, sf_dir), tb.products(spark, sf_dir)))
+    return feat.distinct_counts(tb.events(spark, sf_dir), tb.products(spark, sf_dir))
 
 
 @query
@@ -140,14 +181,13 @@ def recency_days(spark, sf_dir):
 
 @query
 def category_affinity(spark, sf_dir):
-    enriched = enrich_events(tb.events(spark, sf_dir), tb.products(spark, sf_dir))
-    return feat.category_affinity_rows(enriched, AS_OF)
+    return feat.category_affinity_rows(tb.events(spark, sf_dir), tb.products(spark, sf_dir), AS_OF)
 
 
 @query
 def category_affinity_map(spark, sf_dir):
-    enriched = enrich_events(tb.events(spark, sf_dir), tb.products(spark, sf_dir))
-    maps = feat.category_affinity_map(feat.category_affinity_rows(enriched, AS_OF))
+    scores = feat.category_affinity_rows(tb.events(spark, sf_dir), tb.products(spark, sf_dir), AS_OF)
+    maps = feat.category_affinity_map(scores)
     return maps.select(
         *CUSTOMER,
         F.size("category_affinity").cast("bigint").alias("categories"),
@@ -306,13 +346,14 @@ def cooccurrence_wide_path(spark, sf_dir):
 
 @query
 def replaced_tenants(spark, sf_dir):
-    """All pairs stored, then tenant t0 refreshed from its first five days."""
+    """All pairs stored; then t0 and t2 refreshed after t0 lost its clicks of product 3 and t2 all events."""
     events = tb.events(spark, sf_dir)
     path = new_folder(spark, "pairs")
-    refresh_cooccurrence(events, path, AS_OF)
-    early = events.filter("tenant_id = 't0' AND timestamp < timestamp '2024-01-06'")
-    refresh_cooccurrence(early, path, AS_OF)
-    return spark.read.schema(COOCCURRENCE).parquet(path).select(
+    refresh_cooccurrence(events, tb.tenants(spark, sf_dir).select(F.col("id").alias("tenant_id")), path, AS_OF)
+    left = events.filter("tenant_id <> 't2' AND NOT (tenant_id = 't0' AND product_id <=> '3')")
+    changed = spark.createDataFrame([("t0",), ("t2",)], "tenant_id STRING")
+    refresh_cooccurrence(left, changed, path, AS_OF)
+    return tables.current(spark, path, COOCCURRENCE).select(
         "tenant_id", "product_a_id", "product_b_id", "co_count", "confidence"
     )
 
@@ -429,7 +470,8 @@ def _decisions(spark, sf_dir):
 @query
 def decision_log(spark, sf_dir):
     path = new_folder(spark, "decisions")
-    dec.append_decisions(_decisions(spark, sf_dir), path)
+    for _ in range(2):  # a retry adds nothing
+        dec.append_decisions(_decisions(spark, sf_dir), path)
     log = spark.read.schema(f"{DECISIONS}, log_date DATE").parquet(path)
     ids = F.transform("response_items", lambda i: i["product_id"])
     return log.select(
@@ -495,13 +537,12 @@ def rolling_5m_features(spark, sf_dir):
 
 @query
 def merged_features(spark, sf_dir):
-    newest = reports.latest_5m_features(
-        reports.sliding_5m_features(tb.events(spark, sf_dir).filter("event_type = 'click'"))
-    )
+    newest = reports.latest_5m_features(reports.sliding_5m_features(tb.events(spark, sf_dir)))
     merged = reports.merge_features(features_at(spark, sf_dir), newest)
+    counts = ["last_5m_views", "last_5m_clicks", "last_5m_product_views"]
     return merged.select(
         *CUSTOMER, "total_views", "streaming.window_start",
-        F.col("streaming.last_5m_clicks").cast("double").alias("last_5m_clicks"),
+        *(F.col(f"streaming.{c}").cast("double").alias(c) for c in counts),
     )
 
 

@@ -14,12 +14,9 @@ from basketry.schemas import (
     CATEGORY_WEIGHT,
     COOCCURRENCE_WEIGHT,
     CUSTOMER,
-    MAX_LIMIT,
     POPULARITY_TYPES,
 )
 
-SALTS = 32
-
 
 def recent_anchors(events: DataFrame, as_of: str | datetime, n: int = 5) -> DataFrame:
     """The ``n`` products each customer last viewed, carted or bought within 30 days."""
@@ -187,9 +184,8 @@ def rank_candidates(candidates: DataFrame, requests: DataFrame) -> DataFrame:
     best_first = Window.partitionBy(*REQUEST).orderBy(F.desc("score"), "product_id")
     return (
         candidates.select(*REQUEST, "product_id", rounded_score().alias("score"), "reason")
-        .withColumn("rank", F.row_number().over(best_first))
-        .filter(F.col("rank") <= MAX_LIMIT)
         .join(requests.select(*REQUEST, "customer_id", "surface", "limit"), REQUEST)
+        .withColumn("rank", F.row_number().over(best_first))
         .filter(F.col("rank") <= F.col("limit"))
         .select(*REQUEST, "customer_id", "surface", "rank", "product_id", "score", "reason")
     )
@@ -200,30 +196,22 @@ def popularity_fallback(
 ) -> DataFrame:
     """For requests without any candidate, the tenant's top ``3 * limit`` popular products.
 
-    Exclusions apply after the cut. ``popular`` holds at most ``3 * MAX_LIMIT`` rows per
-    tenant, so copying it to each salt is cheap and splits the requests of a large tenant,
-    whichever side Spark streams. ``shown_only`` leaves out rows behind ``limit`` plus the
-    number of exclusions others, which ranking would drop.
+    Exclusions apply after the cut. A tenant's popular products become one array row, of
+    which each request takes the part it reaches, so the requests of a large tenant can be
+    split. ``popular`` must hold ``3 * limit`` rows of a tenant for its largest limit.
+    ``shown_only`` leaves out rows behind ``limit`` plus the number of exclusions others,
+    which ranking would drop.
     """
     reach = 3 * F.col("limit")
     if shown_only:
         reach = F.least(reach, F.col("limit") + F.size("exclude_product_ids"))
     waiting = requests.join(candidates.select(*REQUEST).distinct(), REQUEST, "left_anti")
-    salted = waiting.select(
-        *REQUEST,
-        reach.alias("reach"),
-        F.pmod(F.xxhash64("request_id"), F.lit(SALTS)).cast("int").alias("salt"),
-    )
-    copies = popular.filter(F.col("rank") <= 3 * MAX_LIMIT).select(
-        "tenant_id",
-        "product_id",
-        F.col("score").alias("cooccurrence_score"),
-        F.col("rank").alias("place"),
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
-    ).repartition(SALTS, "tenant_id", "salt")
-    chosen = salted.join(copies, ["tenant_id", "salt"]).filter(
-        F.col("place") <= F.col("reach")
+    entry = F.struct("rank", "product_id", F.col("score").alias("cooccurrence_score"))
+    lists = popular.groupBy("tenant_id").agg(
+        F.array_sort(F.collect_list(entry)).alias("popular")
     )
+    reached = F.slice("popular", F.lit(1), reach.cast("int"))
+    chosen = waiting.join(lists, "tenant_id").select(*REQUEST, F.inline(reached))
     return exclude_products(
         chosen.select(
             *REQUEST,

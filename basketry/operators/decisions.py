@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from basketry.functions.expressions import moment, stable_uuid
 from basketry.operators.requests import REQUEST
 from basketry.schemas import MODEL_VERSION
+from basketry.sources.tables import append_new
 
 RANKED_ITEM = "struct<rank:int,product_id:string,score:double,reason:string>"
 PERCENTILES = {"p50": 0.50, "p90": 0.90, "p95": 0.95, "p99": 0.99}
@@ -49,14 +50,9 @@ def log_decisions(
 
 
 def append_decisions(decisions: DataFrame, path: str) -> None:
-    """Append to the log under ``tenant_id=/log_date=`` folders."""
-    (
-        decisions.withColumn("log_date", F.to_date("created_at"))
-        .hint("rebalance", "tenant_id", "log_date")
-        .write.mode("append")
-        .partitionBy("tenant_id", "log_date")
-        .parquet(path)
-    )
+    """Add to the log, under ``tenant_id=/log_date=`` folders, the decisions it lacks."""
+    dated = decisions.withColumn("log_date", F.to_date("created_at"))
+    append_new(dated, path, ["tenant_id", "log_date", "decision_id"], ["tenant_id", "log_date"])
 
 
 def latency_summary(

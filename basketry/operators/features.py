@@ -39,9 +39,17 @@ def activity_counts(events: DataFrame) -> DataFrame:
     return events.groupBy(*CUSTOMER).agg(*count_measures())
 
 
-def distinct_counts(enriched: DataFrame) -> DataFrame:
-    """Distinct products and categories that any event of the customer names."""
-    touched = enriched.select(*CUSTOMER, "product_id", "category").distinct()
+def distinct_counts(events: DataFrame, products: DataFrame) -> DataFrame:
+    """Distinct products and categories that any event of the customer names.
+
+    Events are folded to one row per customer and product before they meet the products.
+    """
+    touched = attach_category(events.select(*CUSTOMER, "product_id").distinct(), products, "customer_id")
+    return count_touched(touched)
+
+
+def count_touched(touched: DataFrame) -> DataFrame:
+    """The counts, from rows of customer, product and category."""
     return touched.groupBy(*CUSTOMER).agg(
         F.count_distinct("product_id").alias("distinct_products_viewed"),
         F.count_distinct("category").alias("distinct_categories_viewed"),
@@ -65,18 +73,19 @@ def days_since(ts: Column, as_of: str | datetime) -> Column:
     return F.datediff(F.to_date(moment(as_of)), F.to_date(ts))
 
 
-def category_affinity_rows(enriched: DataFrame, as_of: str | datetime) -> DataFrame:
-    """Recency-weighted score per customer and category; stale categories keep score 0."""
+def category_affinity_rows(
+    events: DataFrame, products: DataFrame, as_of: str | datetime
+) -> DataFrame:
+    """Recency-weighted score per customer and category; stale categories keep score 0.
+
+    Events are folded to one row per customer and product before they meet the products.
+    """
+    touches = product_touches(events, as_of).filter("affinity_events > 0")
     return (
-        enriched.filter(
-            F.col("category").isNotNull() & F.col("event_type").isin(*AFFINITY_TYPES)
-        )
+        attach_category(touches, products)
+        .filter(F.col("category").isNotNull())
         .groupBy(*CUSTOMER, "category")
-        .agg(
-            F.sum(affinity_weight(F.col("timestamp"), as_of))
-            .cast("double")
-            .alias("affinity_score")
-        )
+        .agg(F.sum("weight").cast("double").alias("affinity_score"))
     )
 
 
@@ -192,7 +201,7 @@ def basic_features(events: DataFrame, products: DataFrame, as_of: str | datetime
     touches = events.filter(F.col("product_id").isNotNull()).select(
         *CUSTOMER, "product_id"
     ).distinct()
-    distinct = distinct_counts(attach_category(touches, products))
+    distinct = count_touched(attach_category(touches, products))
     return base.join(distinct, CUSTOMER, "left").select(
         *CUSTOMER,
         "total_views",

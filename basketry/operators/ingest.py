@@ -35,6 +35,12 @@ def _event_time() -> str:
     )
 
 
+def canonical_uuid(text: str) -> str:
+    """SQL for the lower-case, hyphenated form of an accepted UUID in any written form."""
+    digits = f"regexp_replace(lower({text}), '^urn:uuid:|[{{}}-]', '')"
+    return f"regexp_replace({digits}, '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '$1-$2-$3-$4-$5')"
+
+
 def _problem(uuid_ids: bool) -> str:
     """SQL text naming what is wrong with event ``e``, or NULL."""
     product = _kind("$.product_id")
@@ -77,14 +83,19 @@ def ingest_events(raw: DataFrame, uuid_ids: bool = True) -> tuple[DataFrame, Dat
     """Events of the good bodies, and ``(batch_id, tenant_id, reason)`` of the others.
 
     Bodies of more than 1,000 events are rejected, as are bodies with a missing or
-    mistyped field. ``uuid_ids=False`` admits ids that are not UUIDs. An event's id is
-    computed from its body's id, its place and its content, so a replay gives the same id.
+    mistyped field. Tenant and product ids are UUIDs in any written form and come out in
+    the canonical one; ``uuid_ids=False`` admits other ids and leaves them as they are. An
+    event's id is computed from its body's id, its place and its content, so a replay gives
+    the same id.
     """
     checked = check_batches(raw, uuid_ids)
     rejected = checked.filter(F.col("reason").isNotNull()).select("batch_id", "tenant_id", "reason")
     rows = checked.filter(F.col("reason").isNull()).select(
         "batch_id", "tenant_id", F.posexplode("events").alias("place", "e")
     )
+    tenant = canonical_uuid("tenant_id") if uuid_ids else "tenant_id"
+    product = canonical_uuid(_text("$.product_id")) if uuid_ids else _text("$.product_id")
+    rows = rows.withColumn("tenant_id", F.expr(tenant))
     accepted = rows.select(
         stable_uuid(
             F.col("tenant_id"), F.col("batch_id"), F.col("place"), F.to_json("e")
@@ -92,7 +103,7 @@ def ingest_events(raw: DataFrame, uuid_ids: bool = True) -> tuple[DataFrame, Dat
         "tenant_id",
         _sql(_text("$.customer_id"), "customer_id"),
         _sql(_text("$.event_type"), "event_type"),
-        _sql(_text("$.product_id"), "product_id"),
+        _sql(product, "product_id"),
         F.coalesce(
             F.to_json(F.expr("try_variant_get(e, '$.properties', 'variant')")), F.lit("{}")
         ).alias("properties"),

@@ -11,11 +11,11 @@ from basketry.functions.expressions import before
 from basketry.operators import candidates as c
 from basketry.operators.requests import (
     REQUEST,
+    check_requests,
     exclude_products,
     feature_lookup,
-    with_defaults,
 )
-from basketry.schemas import CUSTOMER, MAX_LIMIT
+from basketry.schemas import CUSTOMER, MAX_LIMIT, MAX_SURFACE
 from basketry.session import materialize
 
 BLOCK = 64
@@ -56,7 +56,6 @@ def request_categories(
         .withColumn("group_size", F.sum("size").over(per_score))
         .withColumn("higher", F.sum("size").over(down) - F.col("group_size"))
         .filter(F.col("higher") < TOP)
-        .withColumn("tied", F.array_sort(F.collect_list("category").over(per_score)))
         .withColumn("room", (TOP - F.col("higher")).cast("int"))
         .withColumn("cut", F.col("group_size") > F.col("room"))
         .withColumn("final", _floor_score(F.col("affinity_score")))
@@ -68,21 +67,29 @@ def request_categories(
                 F.when(F.least("reached", F.lit(TOP)) >= F.col("needed"), F.col("final"))
             ).over(whole),
         )
-        .select(*REQUEST, "needed", "category", "affinity_score", "ahead", "floor",
-                F.when(F.col("cut"), F.col("tied")).alias("tied"), "room")
+        .select(*REQUEST, "needed", "category", "affinity_score", "ahead", "floor", "cut", "room")
     )
     placed = materialize(placed, "request-categories")
 
-    edges = placed.filter(F.col("tied").isNotNull()).select("tenant_id", "tied", "room").distinct()
+    # The tied categories are listed once per request, not on each of their rows.
+    edges = (
+        placed.filter("cut")
+        .groupBy(*REQUEST, "affinity_score")
+        .agg(F.array_sort(F.collect_list("category")).alias("tied"), F.first("room").alias("room"))
+    )
     max_ids = (
-        edges.select("*", F.explode("tied").alias("category"))
+        edges.select("tenant_id", "tied", "room").distinct()
+        .select("*", F.explode("tied").alias("category"))
         .join(c.leader_lists(leaders), ["tenant_id", "category"])
         .groupBy("tenant_id", "tied", "room")
         .agg(F.flatten(F.collect_list(F.slice("ids", F.lit(1), F.col("room")))).alias("ids"))
         .select("tenant_id", "tied", "room",
                 F.element_at(F.array_sort("ids"), F.col("room")).alias("max_id"))
     )
-    return placed.join(max_ids, ["tenant_id", "tied", "room"], "left").drop("tied", "room")
+    limits = edges.join(max_ids, ["tenant_id", "tied", "room"]).select(
+        *REQUEST, "affinity_score", "max_id"
+    )
+    return placed.join(limits, [*REQUEST, "affinity_score"], "left").drop("cut", "room")
 
 
 def _in_top() -> Column:
@@ -188,10 +195,11 @@ def recommend(
     the anchors, but rows that cannot be shown are never made: every row left out is
     behind ``limit`` plus the number of exclusions others (``needed``).
 
-    Requests are expected in range (see ``check_requests``), scores and confidences not
-    negative. ``events`` needs the last 30 days only.
+    Requests out of range get no rows, never fewer than they ask for; ``check_requests``
+    lists them. Scores and confidences must not be negative. ``events`` needs the last 30
+    days only.
     """
-    requests = with_defaults(requests)
+    requests, _ = check_requests(requests)
     leaders = c.category_leaders(products, TOP)
     categories = materialize(request_categories(requests, features, leaders), "categories")
     anchors = materialize(
@@ -227,6 +235,8 @@ def precompute_requests(
     events: DataFrame, as_of: str | datetime, surface: str = "home", limit: int = 8
 ) -> DataFrame:
     """One request per recently active customer."""
+    if not (1 <= limit <= MAX_LIMIT and 1 <= len(surface) <= MAX_SURFACE):
+        raise ValueError(f"limit must be 1 to {MAX_LIMIT}, surface 1 to {MAX_SURFACE} characters")
     return active_customers(events, as_of).select(
         F.concat_ws("/", "tenant_id", "customer_id", F.lit(surface)).alias("request_id"),
         *CUSTOMER,

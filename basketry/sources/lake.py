@@ -57,6 +57,18 @@ def read_events(
     return df
 
 
+def stored_ids(
+    spark: SparkSession, path: str, since: datetime, until: datetime
+) -> DataFrame:
+    """(tenant_id, id) of the stored events of the days from ``since`` to ``until``."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(hpath):
+        return spark.createDataFrame([], "tenant_id STRING, id STRING")
+    days = F.col("event_date").between(F.to_date(moment(since)), F.to_date(moment(until)))
+    return read_events(spark, path).filter(days).select("tenant_id", "id")
+
+
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
     """Request bodies stored as JSON lines ``{batch_id, tenant_id, body}``."""
     return spark.read.schema(schemas.RAW_BATCHES).json(path)

@@ -15,28 +15,38 @@ def _fs(spark: SparkSession, path: str):
     return hpath, hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
+def _versions(spark: SparkSession, root: str, complete: bool = True) -> list[int]:
     hroot, fs = _fs(spark, root)
     if not fs.exists(hroot):
         return []
     found = []
     for status in fs.listStatus(hroot):
         name = status.getPath().getName()
-        if name.startswith("v=") and fs.exists(_fs(spark, f"{root}/{name}/_SUCCESS")[0]):
-            found.append(int(name[2:]))
+        if name.startswith("v="):
+            if not complete or fs.exists(_fs(spark, f"{root}/{name}/_SUCCESS")[0]):
+                found.append(int(name[2:]))
     return sorted(found)
 
 
-def publish(df: DataFrame, root: str, partition_by: list[str] | None = None) -> int:
+def publish(
+    df: DataFrame,
+    root: str,
+    partition_by: list[str] | None = None,
+    sort_by: list[str] | None = None,
+) -> int:
     """Write the whole table as a new version; readers see it once it is complete.
 
-    The version being read is never touched, so ``df`` may derive from it.
+    The version being read is never touched, so ``df`` may derive from it. A version is
+    written once: of two writers that pick the same number the second fails. ``sort_by``
+    orders the rows of each file, which narrows what a lookup has to read.
     """
     spark = df.sparkSession
-    version = max(_versions(spark, root), default=0) + 1
+    version = max(_versions(spark, root, complete=False), default=0) + 1
     if partition_by:
         df = df.hint("rebalance", *partition_by)
-    writer = df.write.mode("overwrite")
+    if sort_by:
+        df = df.sortWithinPartitions(*(partition_by or []), *sort_by)
+    writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(f"{root}/v={version}")
@@ -51,6 +61,17 @@ def current(spark: SparkSession, root: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{root}/v={versions[-1]}")
 
 
+def prune_versions(spark: SparkSession, root: str, keep: int = 2) -> list[int]:
+    """Remove all but the newest ``keep`` complete versions; returns those removed."""
+    if keep < 1:
+        raise ValueError("the current version must be kept")
+    old = _versions(spark, root)[:-keep]
+    for version in old:
+        folder, fs = _fs(spark, f"{root}/v={version}")
+        fs.delete(folder, True)
+    return old
+
+
 def upsert_table(updates: DataFrame, root: str, keys: list[str], schema: str) -> int:
     """Insert or replace rows by key and publish the result."""
     target = current(updates.sparkSession, root, schema)
@@ -71,31 +92,52 @@ def merge_table(updates: DataFrame, table: str, keys: list[str]) -> None:
     )
 
 
-def replace_tenants(rows: DataFrame, path: str, refreshed: DataFrame) -> list[str]:
-    """Replace the folders of the refreshed tenants; returns those left without rows.
+def append_new(
+    rows: DataFrame, path: str, keys: list[str], partition_by: list[str] | None = None
+) -> None:
+    """Append the rows whose keys are not stored yet, one for each key, so a retry adds nothing.
 
-    ``rows`` must hold refreshed tenants only. Tenants that keep rows are swapped by
-    dynamic partition overwrite at job commit. Tenants without rows have their folder
-    removed afterwards. The list on the driver holds one entry per such folder, never
-    table rows.
+    With ``partition_by``, which must be among the keys, only partitions that the rows name
+    are compared.
     """
     spark = rows.sparkSession
-    rows = materialize(rows, "replacement")
-    (
-        rows.hint("rebalance", "tenant_id")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("tenant_id")
-        .parquet(path)
-    )
-    empty = refreshed.select("tenant_id").distinct().join(
-        rows.select("tenant_id").distinct(), "tenant_id", "left_anti"
+    rows = materialize(rows.dropDuplicates(keys), "appended")
+    folder, fs = _fs(spark, path)
+    if fs.exists(folder):
+        stored = spark.read.schema(rows.schema).parquet(path).select(*keys)
+        if partition_by:
+            touched = rows.select(*partition_by).distinct()
+            stored = stored.join(touched, partition_by, "left_semi")
+        rows = rows.join(stored, keys, "left_anti")
+    if partition_by:
+        rows = rows.hint("rebalance", *partition_by)
+    writer = rows.write.mode("append")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+
+
+def replace_tenants(
+    rows: DataFrame,
+    root: str,
+    refreshed: DataFrame,
+    schema: str,
+    sort_by: list[str] | None = None,
+) -> DataFrame:
+    """Replace all rows of the refreshed tenants; returns the tenants left without any.
+
+    The other tenants' rows are carried over, and everything is published as one version, so
+    readers see the old table or the new one. Rows of tenants that are not refreshed are left
+    out. The tenants left without rows are those that had some before.
+    """
+    spark = rows.sparkSession
+    tenants = materialize(refreshed.select("tenant_id").distinct(), "tenants")
+    rows = materialize(rows.join(tenants, "tenant_id", "left_semi"), "replacement")
+    old = current(spark, root, schema)
+    carried = old.join(tenants, "tenant_id", "left_anti")
+    emptied = materialize(
+        old.select("tenant_id").distinct()
+        .join(tenants, "tenant_id", "left_semi")
+        .join(rows.select("tenant_id").distinct(), "tenant_id", "left_anti"),
+        "emptied",
     )
-    escape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
-    cleared = []
-    for row in empty.toLocalIterator():
-        folder, fs = _fs(spark, f"{path}/tenant_id={escape.escapePathName(row.tenant_id)}")
-        if fs.exists(folder):
-            fs.delete(folder, True)
-            cleared.append(row.tenant_id)
-    return sorted(cleared)
+    publish(carried.unionByName(rows.select(carried.columns)), root, ["tenant_id"], sort_by)
+    return emptied

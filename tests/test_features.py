@@ -81,7 +81,7 @@ def test_affinity_tiers_and_stale_category(spark):
                    ("A", "c", "click", "r", NOW)])
     pr = products(spark, [("p", "A", "fresh"), ("q", "A", "stale"), ("r", "A", "clicked")])
     expected = [("fresh", 4.0), ("stale", 0.0)]
-    got = feat.category_affinity_rows(enrich_events(ev, pr), NOW)
+    got = feat.category_affinity_rows(ev, pr, NOW)
     assert rows(got, "category", "affinity_score") == expected
     row = one(customer_features(ev, pr, NOW))
     assert row.category_affinity == dict(expected)

@@ -6,6 +6,7 @@ from basketry.operators.merge import upsert_by_key
 from basketry.plans.customer_features import customer_features
 from basketry.plans.incremental import incremental_features, run_incremental
 from basketry.plans.refresh_cooccurrence import refresh_cooccurrence
+from basketry.schemas import COOCCURRENCE
 from basketry.sources import tables
 from tests.builders import DAY, HOUR, NOW, events, products, rows
 
@@ -103,7 +104,7 @@ def test_unfinished_version_is_not_read(spark, tmp_path):
     tables.publish(spark.createDataFrame([(1,)], "v INT"), root)
     (tmp_path / "t" / "v=2").mkdir()
     assert rows(tables.current(spark, root, "v INT"), "v") == [(1,)]
-    assert tables.upsert_table(spark.createDataFrame([(2,)], "v INT"), root, ["v"], "v INT") == 2
+    assert tables.upsert_table(spark.createDataFrame([(2,)], "v INT"), root, ["v"], "v INT") == 3
 
 
 def test_merge_needs_a_table_format_with_merge(spark):
@@ -114,13 +115,21 @@ def test_merge_needs_a_table_format_with_merge(spark):
 
 
 def test_refresh_replaces_and_clears(spark, tmp_path):
-    def buys(tenant):
+    def buys(tenant, first="p"):
         return [(tenant, c, "purchase", p, NOW + i * HOUR)
-                for c in "xyz" for i, p in enumerate(("p", "q"))]
+                for c in "xyz" for i, p in enumerate((first, "q"))]
+
+    def named(*tenants):
+        return spark.createDataFrame([(t,) for t in tenants], "tenant_id STRING")
 
     path = str(tmp_path / "pairs")
-    assert refresh_cooccurrence(events(spark, buys("A/1") + buys("B")), path, NOW) == []
-    emptied = refresh_cooccurrence(
-        events(spark, [("A/1", "x", "click", "p", NOW)]), path, NOW)
-    assert emptied == ["A/1"]
-    assert rows(spark.read.parquet(path), "tenant_id", "co_count") == [("B", 3)]
+    both = events(spark, buys("A/1") + buys("B") + buys("C"))
+    assert refresh_cooccurrence(both, named("A/1", "B", "C"), path, NOW).count() == 0
+    # A/1 has a click left, C no event at all; B is not refreshed, though its events are given.
+    left = events(spark, [("A/1", "x", "click", "p", NOW)] + buys("B") + buys("B", "r"))
+    emptied = refresh_cooccurrence(left, named("A/1", "C"), path, NOW)
+    assert rows(emptied, "tenant_id") == [("A/1",), ("C",)]
+    stored = tables.current(spark, path, COOCCURRENCE)
+    assert rows(stored, "tenant_id", "product_a_id", "co_count") == [("B", "p", 3)]
+    assert tables.prune_versions(spark, path, keep=1) == [1]
+    assert stored.count() == 1

@@ -9,13 +9,13 @@ from basketry.sources import lake
 from tests.builders import DAY, NOW, events, rows
 
 TENANT = str(uuid.UUID(int=7))
-PRODUCT = "1d76d073-0c56-4695-b75c-ed1ee0c5d6a3"
+PRODUCT = "00000000-0000-4000-8000-00000000beef"
 
 
 def event(**change):
     base = {
-        "customer_id": "cust_1", "event_type": "product_view", "product_id": PRODUCT,
-        "properties": {"source": "web"}, "timestamp": "2026-04-19T06:30:00Z",
+        "customer_id": "lee", "event_type": "product_view", "product_id": PRODUCT,
+        "properties": {"page": 2}, "timestamp": "2025-11-02T10:15:00Z",
     }
     base.update(change)
     return {k: v for k, v in base.items() if v != "DROP"}
@@ -35,8 +35,8 @@ def test_good_batch(spark):
     assert rejected.count() == 0
     got = accepted.orderBy("product_id").collect()
     assert [r.product_id for r in got] == [None, PRODUCT]
-    assert [json.loads(r.properties) for r in got] == [{}, {"source": "web"}]
-    assert got[0].timestamp.isoformat() == "2026-04-19T06:30:00"
+    assert [json.loads(r.properties) for r in got] == [{}, {"page": 2}]
+    assert got[0].timestamp.isoformat() == "2025-11-02T10:15:00"
     assert len({r.id for r in got}) == 2
 
 
@@ -94,10 +94,10 @@ def test_tenant_must_be_a_uuid_unless_told_otherwise(spark):
 
 
 @pytest.mark.parametrize("given,expected", [
-    (1_776_580_200, "2026-04-19T06:30:00"),
-    (1_776_580_200_500, "2026-04-19T06:30:00.500000"),
-    ("2026-04-19T08:30:00+02:00", "2026-04-19T06:30:00"),
-    ("2026-04-19T06:30:00", "2026-04-19T06:30:00"),
+    (1_762_078_500, "2025-11-02T10:15:00"),
+    (1_762_078_500_500, "2025-11-02T10:15:00.500000"),
+    ("2025-11-02T12:15:00+02:00", "2025-11-02T10:15:00"),
+    ("2025-11-02T10:15:00", "2025-11-02T10:15:00"),
 ])
 def test_written_forms_of_time(spark, given, expected):
     accepted, _ = run(spark, body(event(timestamp=given)))
@@ -125,7 +125,7 @@ def test_tsv(spark, tmp_path):
     )
     row = lake.read_events_tsv(spark, str(file)).first()
     assert row.product_id is None and row.properties == '{"a": "x\ty"}'
-    assert row.timestamp.isoformat() == "2026-04-19T06:30:00"
+    assert row.timestamp.isoformat() == "2025-11-02T10:15:00"
 
 
 def test_batch_files(spark, tmp_path):
@@ -133,3 +133,13 @@ def test_batch_files(spark, tmp_path):
     file.write_text(json.dumps({"batch_id": "b", "tenant_id": TENANT, "body": body(event())}))
     accepted, _ = ingest.ingest_events(lake.read_batches(spark, str(file)))
     assert accepted.count() == 1
+
+
+@pytest.mark.parametrize("spelled", [
+    PRODUCT.upper(), PRODUCT.replace("-", ""), "{" + PRODUCT + "}", "urn:uuid:" + PRODUCT,
+    "URN:UUID:{" + PRODUCT.upper().replace("-", "") + "}",
+])
+def test_ids_come_out_in_one_form(spark, spelled):
+    accepted, rejected = run(spark, body(event(product_id=spelled)), tenant=TENANT.upper())
+    assert rejected.count() == 0
+    assert rows(accepted, "tenant_id", "product_id") == [(TENANT, PRODUCT)]

@@ -102,9 +102,10 @@ def test_rows_are_folded_before_the_shuffle(stored, job):
 
 
 def test_ingest_to_lake(spark, tmp_path):
-    good = '{"events": [{"customer_id": "c", "event_type": "click", "timestamp": 1776580200}]}'
+    good = '{"events": [{"customer_id": "c", "event_type": "click", "timestamp": 1762078500}]}'
     raw = spark.createDataFrame([("b0", "A", good), ("b1", "A", "{}")], RAW_BATCHES)
     paths = str(tmp_path / "lake"), str(tmp_path / "rejected")
-    ingest_to_lake(raw, *paths, uuid_ids=False)
+    for _ in range(2):  # a replay adds nothing
+        ingest_to_lake(raw, *paths, uuid_ids=False)
     assert lake.read_events(spark, paths[0]).count() == 1
     assert rows(spark.read.parquet(paths[1]), "batch_id", "reason") == [("b1", "events missing")]

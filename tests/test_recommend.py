@@ -209,3 +209,30 @@ def test_precompute_takes_the_last_day(spark):
     history = [("A", "new", "click", None, NOW - 24 * HOUR),
                ("A", "old", "click", None, NOW - 25 * HOUR)]
     assert rows(plan.precompute_requests(events(spark, history), NOW), "customer_id") == [("new",)]
+
+
+def test_a_limit_out_of_range_is_refused_not_shortened(spark):
+    catalogue = products(spark, [(f"p{i:03}", "A", "c") for i in range(90)])
+    seen = events(spark, [("A", "x", "product_view", f"p{i:03}", NOW - HOUR) for i in range(90)])
+    asked = requests(spark, [("A", "x", 80, []), ("A", "y", 50, []), ("A", "z", 0, [])])
+    got = plan.recommend(asked, seen, catalogue, features(spark, []), cooc(spark, []), NOW)
+    assert rows(got.groupBy("customer_id").count(), "customer_id", "count") == [("y", 50)]
+    assert rows(req.check_requests(asked)[1], "customer_id") == [("x",), ("z",)]
+    with pytest.raises(ValueError):
+        plan.precompute_requests(seen, NOW, limit=80)
+
+
+def test_tied_categories_stay_linear(spark):
+    """A thousand categories of one score: one list per request, and rows in the order of ids."""
+    names = [f"c{i:04}" for i in range(1000)]
+    catalogue = products(spark, [(f"p{(i * 7) % 1000:04}", "A", c) for i, c in enumerate(names)])
+    asked = requests(spark, [("A", "x", 8, []), ("A", "y", 8, [])])
+    scores = features(spark, [("A", who, {c: 0.0 for c in names}) for who in "xy"])
+    leaders = cand.category_leaders(catalogue, 100)
+    found = plan.request_categories(asked, scores, leaders)
+    assert found.count() == 2000
+    assert "tied" not in found.columns
+    got = plan.recommend(asked, events(spark, []), catalogue, scores, cooc(spark, []), NOW)
+    assert rows(got.filter("customer_id = 'x'"), "rank", "product_id") == [
+        (i + 1, f"p{i:04}") for i in range(8)
+    ]

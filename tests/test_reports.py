@@ -24,8 +24,8 @@ def test_tenant_scope(spark, tenant, n):
 
 LEAK_JOBS = {
     "counts": lambda e, p: feat.activity_counts(e),
-    "distinct": lambda e, p: feat.distinct_counts(enrich_events(e, p)),
-    "affinity": lambda e, p: feat.category_affinity_rows(enrich_events(e, p), NOW),
+    "distinct": lambda e, p: feat.distinct_counts(e, p),
+    "affinity": lambda e, p: feat.category_affinity_rows(e, p, NOW),
     "gaps": lambda e, p: feat.purchase_gaps(e),
     "revenue": lambda e, p: feat.purchase_revenue(e),
     "sessions": lambda e, p: sessions.session_windows(e),

@@ -77,7 +77,7 @@ def test_sessions_before_the_watermark_equal_the_batch_job(spark, tmp_path):
 
 def test_messages(spark):
     good = {"id": "e", "tenant_id": "A", "customer_id": "c", "event_type": "click",
-            "product_id": None, "properties": "{}", "timestamp": "2026-04-19T06:30:00Z"}
+            "product_id": None, "properties": "{}", "timestamp": "2025-11-02T10:15:00Z"}
     messages = spark.createDataFrame(
         [(json.dumps(good).encode(),), (b"rubbish",)], "value BINARY")
     assert rows(sources.decode_messages(messages), "id", "event_type") == [("e", "click")]
