@@ -7,18 +7,14 @@ import numpy as np
 from basketry.llm._text import U64
 
 _SIX = [(32, U64(0xFFFFFFFF)), (16, U64(0xFFFF)), (8, U64(0xFF)), (4, U64(0xF)), (2, U64(0x3)), (1, U64(0x1))]
-# A directory entry for so many words of the upper bits.
-GROUP = 8
-
 
 def encode(values: np.ndarray) -> bytes:
-    """Lower bits packed, upper bits in unary, and the ones before each group of words."""
+    """Lower bits packed, upper bits in unary, and the ones before each word of these."""
     values = np.asarray(values, U64)
     n, top = len(values), int(values[-1]) if len(values) else 0
     low = max(0, (top // max(1, n)).bit_length() - 1) if n else 0
     upper = (values >> U64(low)).astype(np.int64) + np.arange(n)
     words = (int(upper[-1]) if n else 0) // 64 + 2
-    words += -words % GROUP
     high = np.zeros(words, U64)
     np.bitwise_or.at(high, upper >> 6, U64(1) << (upper & 63).astype(U64))
     packed = np.zeros(n * low // 64 + 2, U64)
@@ -28,7 +24,7 @@ def encode(values: np.ndarray) -> bytes:
         np.bitwise_or.at(packed, at >> 6, part << shift)
         over = (at & 63) + low > 64
         np.bitwise_or.at(packed, (at[over] >> 6) + 1, part[over] >> (U64(64) - shift[over]))
-    ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high).astype(np.int64).reshape(-1, GROUP).sum(axis=1))])
+    ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high).astype(np.int64))])
     head = np.array([n, low, len(packed), words, len(ones)], U64)
     return b"".join(x.tobytes() for x in (head, packed, high, ones.astype(U64)))
 
@@ -40,28 +36,24 @@ class EliasFano:
         self.n, self.low, a, b, c = (int(x) for x in words[:5])
         self.packed, self.high = words[5 : 5 + a], words[5 + a : 5 + a + b]
         self.ones = words[5 + a + b : 5 + a + b + c].astype(np.int64)
-        self.zeros = np.arange(c, dtype=np.int64) * (64 * GROUP) - self.ones
+        self.zeros = np.arange(c, dtype=np.int64) * 64 - self.ones
         self.mask = U64((1 << self.low) - 1)
 
     def _select(self, k: np.ndarray, before: np.ndarray, flip: bool) -> np.ndarray:
         """Position of the k-th set (or unset) upper bit."""
-        group = np.searchsorted(before, k, "right") - 1
-        words = self.high[group[:, None] * GROUP + np.arange(GROUP)]
+        at = np.searchsorted(before, k, "right") - 1
+        word = self.high[at]
         if flip:
-            words = ~words
-        each = np.cumsum(np.bitwise_count(words).astype(np.int64), axis=1)
-        left = k - before[group]
-        at = (each <= left[:, None]).sum(axis=1)
-        rows = np.arange(len(k))
-        left = (left - np.where(at > 0, each[rows, at - 1], 0)).astype(U64)
-        word, place = words[rows, at], np.zeros(len(k), U64)
+            word = ~word
+        left, place = (k - before[at]).astype(np.uint8), np.zeros(len(k), np.uint8)
         for width, mask in _SIX:
-            below = np.bitwise_count(word & mask).astype(U64)
+            below = np.bitwise_count(word & mask)
             up = left >= below
-            left = np.where(up, left - below, left)
-            word = np.where(up, word >> U64(width), word)
-            place += np.where(up, U64(width), U64(0))
-        return (group * GROUP + at) * 64 + place.astype(np.int64)
+            left -= below * up
+            step = up * np.uint8(width)
+            word >>= step.astype(U64)
+            place += step
+        return at * 64 + place
 
     def _lower(self, i: np.ndarray) -> np.ndarray:
         if not self.low:
@@ -78,8 +70,8 @@ class EliasFano:
             return np.empty(0, np.int64)
         return ((self._select(i, self.ones, False) - i) << self.low) | self._lower(i)
 
-    def find(self, value: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """First position in [begin, end) with at least ``value``, or ``end``."""
+    def find(self, value: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First position in [begin, end) with at least ``value``, or ``end``; and whether it has just that."""
         top = value >> self.low
         inside = top < int(self.zeros[-1]) - 1
         safe = np.where(inside, top, 0)
@@ -88,6 +80,7 @@ class EliasFano:
         some = safe > 0
         first[some] = self._select(safe[some] - 1, self.zeros, True) - (safe[some] - 1)
         lo, hi = np.clip(first, begin, end), np.clip(after, begin, end)
+        last = hi.copy()
         want = value & int(self.mask)
         open_ = np.flatnonzero(lo < hi)
         while len(open_):
@@ -96,4 +89,8 @@ class EliasFano:
             lo[open_] = np.where(small, mid + 1, lo[open_])
             hi[open_] = np.where(small, hi[open_], mid)
             open_ = open_[lo[open_] < hi[open_]]
-        return np.where(inside, lo, end)
+        # Up to ``last`` the upper part is that of the value.
+        same = np.flatnonzero(inside & (lo < last))
+        exact = np.zeros(len(value), bool)
+        exact[same] = self._lower(lo[same]) == want[same]
+        return np.where(inside, lo, end), exact

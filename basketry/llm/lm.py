@@ -103,7 +103,7 @@ def find_words(model: Model, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def find_grams(model: Model, order: int, context: np.ndarray, word: np.ndarray, rank: np.ndarray | None, counts: bool = False):
-    """Of n-grams (context number, last word): position in the level or -1, discounted share, share left over, rank, count.
+    """Of n-grams (context number, last word): position in the level or -1, discounted share, share left over, rank, count (up to 255).
 
     ``word`` picks the shard. The pointers give the context's range; in it a successor search finds
     the word, or in level three its rank among the words that follow the middle word.
@@ -133,16 +133,14 @@ def find_grams(model: Model, order: int, context: np.ndarray, word: np.ndarray,
         base = np.zeros(len(heads), np.int64)
         base[heads > 0] = words.get(heads[heads > 0] - 1)
         wanted = (word if rank is None else rank)[at] + base[inverse]
-        place = words.find(wanted, begin, end)
-        hit = np.flatnonzero(place < end)
-        hit = hit[words.get(place[hit]) == wanted[hit]]
+        place, exact = words.find(wanted, begin, end)
+        hit = np.flatnonzero(exact)
         at, place, begin = at[hit], place[hit], begin[hit]
         position[at] = level.offset[shard] + place
         within[at] = place - begin + np.where(context[at] == first, level.before[shard], 0)
         share[at] = _value(mapped(f"{folder}/{shard}.share").view(np.uint8)[place])
         if counts:
-            sums = _sequence(f"{folder}/{shard}.sums")
-            count[at] = sums.get(place + 1) - sums.get(place)
+            count[at] = mapped(f"{folder}/{shard}.few").view(np.uint8)[place]
     if len(level.context):
         slot = np.minimum(np.searchsorted(level.context, context), len(level.context) - 1)
         split = level.context[slot] == context
@@ -281,6 +279,7 @@ def _build_grams(model: Model, order: int, context_counts):
         write(f"{folder}/{shard}.rest", _bytes_file(rest))
         if order == 2:
             write(f"{folder}/{shard}.sums", encode(np.concatenate([[0], np.cumsum(counts)])))
+            write(f"{folder}/{shard}.few", _bytes_file(np.minimum(counts, 255).astype(np.uint8)))
         ends = (int(context[0]), int(size[0]), float(used[0]), int(context[-1]), int(size[-1]), float(used[-1]))
         return _told(shard, counts, np.arange(len(counts)), ends)
 
