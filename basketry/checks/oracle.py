@@ -477,7 +477,7 @@ FROM placed GROUP BY 1, 2""",
         full(AS_OF, False)
         + ["""stale AS (SELECT DISTINCT r.tenant_id, r.customer_id FROM recs r
              JOIN pr ON pr.id = r.product_id AND pr.tenant_id = r.tenant_id WHERE p_size = 1)"""],
-        "SELECT recs.* FROM recs ANTI JOIN stale USING (tenant_id, customer_id)",
+        "SELECT recs.* EXCLUDE (request_id) FROM recs ANTI JOIN stale USING (tenant_id, customer_id)",
     ),
     "daily_activity": sql([EV], DAYS),
     "stream_daily_activity": sql([EV], DAYS),
@@ -523,10 +523,9 @@ FROM placed GROUP BY 1, 2""",
           AS layer, count(*) AS events FROM ev GROUP BY 1, 2""",
     ),
     "daily_snapshot": sql(
-        FEATS,
-        """SELECT tenant_id, customer_id, total_views, total_cart_adds, total_purchases,
-          '2024-02-05' AS snapshot_date FROM agg""",
+        FEATS, f"SELECT {FEATURE_COLUMNS}, '2024-02-05' AS snapshot_date FROM feat"
     ),
+    "rules_snapshot": sql(COOC, f"SELECT {RULE_COLUMNS}, '2024-02-05' AS snapshot_date FROM cooc"),
     "assigned_variants": sql(
         [EV, VARIANT.format(src="(SELECT DISTINCT tenant_id, customer_id FROM ev)")],
         """SELECT tenant_id, customer_id, bucket,
@@ -535,9 +534,11 @@ FROM placed GROUP BY 1, 2""",
     "ab_results": sql(
         [EV, PR, reqs(False), VARIANT.format(src="asked"),
          """buyer AS (SELECT tenant_id, customer_id, count(*) AS n FROM ev
-           WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-20' GROUP BY 1, 2)"""],
+           WHERE event_type = 'purchase' AND ts >= CASE WHEN tenant_id = 't1'
+             THEN TIMESTAMP '2024-01-10' ELSE TIMESTAMP '2024-01-20' END GROUP BY 1, 2)"""],
         """SELECT v.tenant_id, CASE WHEN bucket < 50 THEN 'A' ELSE 'B' END AS variant,
-          count(*) AS customers, count(*) AS exposures, count(n) AS buyers,
+          count(*) AS customers,
+          count(*) * CASE WHEN v.tenant_id = 't1' THEN 2 ELSE 1 END AS exposures, count(n) AS buyers,
           CAST(coalesce(sum(n), 0) AS BIGINT) AS purchases,
           CAST(count(n) AS DOUBLE) / count(*) AS conversion
         FROM variant v LEFT JOIN buyer USING (tenant_id, customer_id) GROUP BY 1, 2""",
@@ -579,7 +580,6 @@ FROM placed GROUP BY 1, 2""",
     "stream_sessions": sql(
         FEATS,
         """SELECT tenant_id, customer_id, session_start, session_end, events, product_events
-        FROM win WHERE session_end + INTERVAL 30 MINUTE
-          <= (SELECT max(ts) FROM ev) - INTERVAL 1 HOUR""",
+        FROM win""",
     ),
 }

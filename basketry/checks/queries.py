@@ -21,9 +21,11 @@ from basketry.operators.tenancy import tenant_scope
 from basketry.plans.customer_features import customer_features
 from basketry.plans.incremental import incremental_features
 from basketry.plans.recommend import (
-    invalidate_recommendations,
+    STORED,
+    invalidate_stored,
     precompute_recommendations,
     recommend,
+    store_recommendations,
 )
 from basketry.plans.ingest import ingest_to_lake
 from basketry.plans.refresh_cooccurrence import refresh_cooccurrence
@@ -502,14 +504,18 @@ def precomputed_recommendations(spark, sf_dir):
 
 @query
 def invalidated_recommendations(spark, sf_dir):
-    """Lists that survive an update of every product of size 1."""
+    """Stored lists that survive an update of every product of size 1."""
     updated = (
         spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_size = 1")
         .select(F.col("p_partkey").cast("string").alias("id"))
         .join(tb.products(spark, sf_dir), "id")
     )
+    root = new_folder(spark, "lists")
     recs = materialize(_recommend(spark, sf_dir, exclude=False), "recs")
-    return invalidate_recommendations(recs, updated)
+    store_recommendations(recs.filter("tenant_id <> 't0'"), root)
+    store_recommendations(recs, root)
+    invalidate_stored(spark, root, updated)
+    return tables.current(spark, root, STORED)
 
 
 # ---- reports, experiments, quality
@@ -564,11 +570,23 @@ def storage_layers(spark, sf_dir):
 
 @query
 def daily_snapshot(spark, sf_dir):
+    """All features, kept for two days and read for the second."""
     path = new_folder(spark, "snapshots")
-    reports.write_snapshot(
-        feat.activity_counts(tb.events(spark, sf_dir)), path, AS_OF
+    rows = flat_features(features_at(spark, sf_dir)).drop("updated_at")
+    reports.write_snapshot(rows.filter("tenant_id = 't0'"), path, "2024-02-04 00:00:00")
+    reports.write_snapshot(rows, path, AS_OF)
+    return reports.read_snapshot(spark, path, AS_OF)
+
+
+@query
+def rules_snapshot(spark, sf_dir):
+    path = new_folder(spark, "snapshots")
+    rows = pairs_at(spark, sf_dir)
+    reports.write_snapshot(rows, path, AS_OF)
+    kept = reports.read_snapshot(spark, path, AS_OF)
+    return kept.select(
+        "tenant_id", "product_a_id", "product_b_id", "co_count", "confidence", "snapshot_date"
     )
-    return spark.read.parquet(path)
 
 
 @query
@@ -579,9 +597,20 @@ def assigned_variants(spark, sf_dir):
 
 @query
 def ab_results(spark, sf_dir):
-    return ab.ab_results(
-        tb.requests(spark, sf_dir), tb.events(spark, sf_dir), "2024-01-20 00:00:00"
-    )
+    """Everybody is answered on 20 January; tenant t1 was on the 10th already."""
+    asked = materialize(tb.requests(spark, sf_dir), "requests")
+    popular = cand.popularity(tb.events(spark, sf_dir), tb.products(spark, sf_dir), AS_OF, 150)
+    shown = cand.popularity_fallback(asked, asked.filter(F.lit(False)), popular)
+    recs = materialize(cand.rank_candidates(shown, asked), "recs")
+    path = new_folder(spark, "decisions")
+    early = asked.filter("tenant_id = 't1'")
+    dec.append_decisions(dec.log_decisions(recs, early, "2024-01-10 00:00:00"), path)
+    dec.append_decisions(dec.log_decisions(recs, asked, "2024-01-20 00:00:00"), path)
+    log = spark.read.schema(f"{DECISIONS}, log_date DATE").parquet(path)
+    root = new_folder(spark, "ab")
+    results = ab.ab_results(log, tb.events(spark, sf_dir))
+    tables.publish(results, root)
+    return tables.current(spark, root, results.schema)
 
 
 @query
@@ -670,4 +699,5 @@ def stream_sessions(spark, sf_dir):
     stream.start_append(
         stream.stream_sessions(tb.event_stream(spark, sf_dir)), path, f"{path}-checkpoint"
     ).awaitTermination()
-    return spark.read.parquet(path)
+    emitted = spark.read.parquet(path)
+    return emitted.unionByName(stream.sessions_left(tb.events(spark, sf_dir), emitted))

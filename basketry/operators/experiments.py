@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.functions.expressions import is_type, moment, percent_bucket
+from basketry.functions.expressions import is_type, percent_bucket
 from basketry.schemas import CUSTOMER
 
 
@@ -19,18 +17,26 @@ def assign_variant(customers: DataFrame, share_a: int = 50) -> DataFrame:
     )
 
 
-def ab_results(decisions: DataFrame, events: DataFrame, since: str | datetime) -> DataFrame:
-    """Exposures, buyers and purchases after ``since`` per tenant and variant.
+def ab_results(decisions: DataFrame, events: DataFrame) -> DataFrame:
+    """Exposures, buyers and later purchases per tenant and variant.
 
-    Decisions and purchases are each folded to one row per customer before they meet.
+    ``decisions`` is the decision log. A purchase counts from the customer's first decision
+    on. Decisions are folded to one row per customer, and purchases to one per customer and
+    time, before they meet.
     """
     exposed = assign_variant(
-        decisions.groupBy(*CUSTOMER).agg(F.count("*").alias("exposures"))
+        decisions.groupBy(*CUSTOMER).agg(
+            F.count("*").alias("exposures"), F.min("created_at").alias("first_exposure")
+        )
     )
     bought = (
-        events.filter(is_type("purchase") & (F.col("timestamp") >= moment(since)))
+        events.filter(is_type("purchase"))
+        .groupBy(*CUSTOMER, "timestamp")
+        .agg(F.count("*").alias("n"))
+        .join(exposed.select(*CUSTOMER, "first_exposure"), CUSTOMER)
+        .filter(F.col("timestamp") >= F.col("first_exposure"))
         .groupBy(*CUSTOMER)
-        .agg(F.count("*").alias("purchases"))
+        .agg(F.sum("n").alias("purchases"))
     )
     return (
         exposed.join(bought, CUSTOMER, "left")

@@ -34,6 +34,7 @@ def incremental_features(
     as_of: str | datetime,
     job: str = FEATURE_JOB,
     recent: DataFrame | None = None,
+    on_bad: str = "fail",
 ) -> IncrementalFeatures:
     """Full history of the affected customers, the stored row for everyone else.
 
@@ -43,13 +44,14 @@ def incremental_features(
 
     A late event not after the checkpoint is noticed only once its customer has a newer
     one. Events must not change during the run, so every new event is within the bound.
-    Without new events nothing changes.
+    Without new events nothing changes. ``on_bad="null"`` counts a purchase whose revenue is
+    no number as unpaid, so that one bad value does not stop the other tenants.
     """
     last_seen = inc.read_checkpoints(checkpoints, job)
     searched = events if recent is None else recent
     affected = materialize(inc.fresh_customers(searched, last_seen), "fresh")
     bounds = materialize(inc.bounds_of(affected), "bounds")
-    updates = customer_features(events, products, as_of, affected)
+    updates = customer_features(events, products, as_of, affected, on_bad=on_bad)
     updates = (
         updates.drop("updated_at")
         .join(bounds.select("tenant_id", F.col("max_ts").alias("updated_at")), "tenant_id")
@@ -87,6 +89,7 @@ def run_incremental(
     checkpoints_root: str,
     as_of: str | datetime,
     recent: DataFrame | None = None,
+    on_bad: str = "fail",
 ) -> DataFrame:
     """One run on stored tables: features first, then checkpoints; returns the report.
 
@@ -99,6 +102,7 @@ def run_incremental(
         tables.current(spark, checkpoints_root, CHECKPOINTS),
         as_of,
         recent=recent,
+        on_bad=on_bad,
     )
     report = materialize(result.report, "report")
     if report.filter(F.col("processed_events") > 0).isEmpty():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.expressions import before
@@ -17,6 +17,7 @@ from basketry.operators.requests import (
 )
 from basketry.schemas import CUSTOMER, MAX_LIMIT, MAX_SURFACE
 from basketry.session import materialize
+from basketry.sources import tables
 
 BLOCK = 64
 TOP = 100
@@ -260,9 +261,31 @@ def precompute_recommendations(
     return recommend(asked, events, products, features, cooc, as_of).drop("request_id")
 
 
+# The stored lists: what a surface shows a customer.
+LIST = ["tenant_id", "customer_id", "surface"]
+STORED = (
+    "tenant_id STRING, customer_id STRING, surface STRING, rank INT, product_id STRING,"
+    " score DOUBLE, reason STRING"
+)
+
+
+def store_recommendations(recs: DataFrame, root: str) -> int:
+    """Publish precomputed lists; a customer's list for a surface replaces the stored one."""
+    spark = recs.sparkSession
+    fresh = materialize(recs.select(*(c.split()[0] for c in STORED.split(", "))), "lists")
+    old = tables.current(spark, root, STORED)
+    kept = old.join(fresh.select(*LIST).distinct(), LIST, "left_anti")
+    return tables.publish(kept.unionByName(fresh), root, sort_by=[*LIST, "rank"])
+
+
+def invalidate_stored(spark: SparkSession, root: str, updated_products: DataFrame) -> int:
+    """Publish the stored lists without those that name an updated product."""
+    left = invalidate_recommendations(tables.current(spark, root, STORED), updated_products)
+    return tables.publish(left, root, sort_by=[*LIST, "rank"])
+
+
 def invalidate_recommendations(recs: DataFrame, updated_products: DataFrame) -> DataFrame:
     """``recs`` without every list that names an updated product."""
-    lists = ["tenant_id", "customer_id", "surface"]
     changed = updated_products.select("tenant_id", F.col("id").alias("product_id")).distinct()
-    stale = recs.join(changed, ["tenant_id", "product_id"], "left_semi").select(*lists).distinct()
-    return recs.join(stale, lists, "left_anti")
+    stale = recs.join(changed, ["tenant_id", "product_id"], "left_semi").select(*LIST).distinct()
+    return recs.join(stale, LIST, "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from uuid import uuid4
 
@@ -46,13 +47,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A local session without the setting gets a temporary folder; a cluster session
+    A session in one process without the setting gets a temporary folder; a cluster session
     without it is an error, since a machine-local folder dies with its machine.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    # local-cluster has executors of its own, which do not see the driver's temporary folder.
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIRS:

@@ -7,11 +7,12 @@ interval. State lives in RocksDB; offsets and sink progress in ``checkpoint``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from basketry.operators.reports import day_measures, sliding_5m_features
+from basketry.operators.sessions import session_windows
 from basketry.schemas import CUSTOMER
 from basketry.sources.lake import EVENT_PARTITIONS, with_event_date
 
@@ -62,6 +63,17 @@ def stream_sessions(
     )
 
 
+def sessions_left(events: DataFrame, emitted: DataFrame) -> DataFrame:
+    """The sessions of ``events`` that the stream has not emitted as they are.
+
+    A batch correction over the raw lake: sessions that were still open when the stream
+    stopped, and those that rows behind the watermark belong to.
+    """
+    whole = session_windows(events)
+    columns = [*CUSTOMER, "session_start", "session_end", "events", "product_events"]
+    return whole.select(*columns).join(emitted.select(*columns), columns, "left_anti")
+
+
 def _trigger(writer, interval: str | None):
     if interval is None:
         return writer.trigger(availableNow=True)
@@ -83,11 +95,28 @@ def start_append(
     return _trigger(writer, interval).start()
 
 
+def is_complete() -> Column:
+    """The rules of batch ingestion that concern a typed event: nothing required is missing."""
+    named = [F.coalesce(F.length(c) > 0, F.lit(False)) for c in ("id", "tenant_id", "customer_id")]
+    return (
+        named[0] & named[1] & named[2]
+        & F.col("event_type").isNotNull() & F.col("timestamp").isNotNull()
+    )
+
+
 def start_ingest(
     events: DataFrame, path: str, checkpoint: str, interval: str | None = None
 ) -> StreamingQuery:
-    """Write the event stream to the lake layout ``tenant_id=/event_date=``."""
-    return start_append(with_event_date(events), path, checkpoint, EVENT_PARTITIONS, interval)
+    """Write the stream's complete events to the lake layout ``tenant_id=/event_date=``."""
+    good = with_event_date(events.filter(is_complete()))
+    return start_append(good, path, checkpoint, EVENT_PARTITIONS, interval)
+
+
+def start_rejects(
+    events: DataFrame, path: str, checkpoint: str, interval: str | None = None
+) -> StreamingQuery:
+    """Write the events that ``start_ingest`` leaves out."""
+    return start_append(events.filter(~is_complete()), path, checkpoint, None, interval)
 
 
 def start_upserts(

@@ -17,10 +17,19 @@ def file_events(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
     )
 
 
+def _parsed(messages: DataFrame) -> DataFrame:
+    text = F.col("value").cast("string")
+    return messages.select(text.alias("text"), F.from_json(text, schemas.EVENTS).alias("e"))
+
+
 def decode_messages(messages: DataFrame) -> DataFrame:
     """Events from records with a JSON ``value``, as a Kafka source delivers them.
 
-    Records that are no events come out with a NULL tenant and are dropped.
+    Records that are no events are left to ``undecoded_messages``.
     """
-    parsed = F.from_json(F.col("value").cast("string"), schemas.EVENTS)
-    return messages.select(parsed.alias("e")).select("e.*").filter("tenant_id IS NOT NULL")
+    return _parsed(messages).select("e.*").filter("tenant_id IS NOT NULL")
+
+
+def undecoded_messages(messages: DataFrame) -> DataFrame:
+    """(text) of the records that are no JSON events or name no tenant."""
+    return _parsed(messages).filter("e.tenant_id IS NULL").select("text")

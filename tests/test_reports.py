@@ -128,11 +128,14 @@ def test_variants_are_stable_and_even(spark):
 
 def test_ab_results(spark):
     people = [("A", f"c{i}") for i in range(20)]
-    decisions = spark.createDataFrame(people * 2, "tenant_id STRING, customer_id STRING")
-    ev = events(spark, [("A", "c1", "purchase", "p", NOW), ("A", "c1", "purchase", "p", NOW),
+    seen = [(*p, NOW - k * HOUR) for p in people for k in (0, 2)]
+    decisions = spark.createDataFrame(
+        seen, "tenant_id STRING, customer_id STRING, created_at TIMESTAMP")
+    # c1 buys after the first and after the second decision, c2 before any.
+    ev = events(spark, [("A", "c1", "purchase", "p", NOW), ("A", "c1", "purchase", "p", NOW - HOUR),
                         ("A", "c2", "purchase", "p", NOW - DAY),
                         ("A", "zz", "purchase", "p", NOW)])
-    got = ab.ab_results(decisions, ev, NOW)
+    got = ab.ab_results(decisions, ev)
     total = got.agg(F.sum("customers"), F.sum("exposures"), F.sum("buyers"),
                     F.sum("purchases")).first()
     assert tuple(total) == (20, 40, 1, 2)

@@ -81,3 +81,16 @@ def test_messages(spark):
     messages = spark.createDataFrame(
         [(json.dumps(good).encode(),), (b"rubbish",)], "value BINARY")
     assert rows(sources.decode_messages(messages), "id", "event_type") == [("e", "click")]
+
+
+def test_incomplete_events_are_set_aside(spark, tmp_path):
+    rows_in = [("A", "c", "click", None, NOW), ("", "c", "click", None, NOW),
+               ("A", None, "click", None, NOW), ("A", "c", None, None, NOW)]
+    src, out, bad = (str(tmp_path / x) for x in ("src", "out", "bad"))
+    events(spark, rows_in).write.parquet(src)
+    finish(jobs.start_ingest(sources.file_events(spark, src), out, out + "-mark"))
+    finish(jobs.start_rejects(sources.file_events(spark, src), bad, bad + "-mark"))
+    assert rows(spark.read.parquet(out), "id") == [("e0",)]
+    assert rows(spark.read.parquet(bad), "id") == [("e1",), ("e2",), ("e3",)]
+    messages = spark.createDataFrame([(b"rubbish",), (b'{"id": "x"}',)], "value BINARY")
+    assert sources.undecoded_messages(messages).count() == 2
