@@ -121,7 +121,7 @@ def test_lake_round_trip_and_pruning(spark, tmp_path):
 def test_tsv(spark, tmp_path):
     file = tmp_path / "events.tsv"
     file.write_text(
-        'A\tc\tclick\t\t"{""a"": ""x\ty""}"\t2026-04-19 06:30:00+00:00\n', encoding="utf-8"
+        'A\tc\tclick\t\t"{""a"": ""x\ty""}"\t2025-11-02 10:15:00+00:00\n', encoding="utf-8"
     )
     row = lake.read_events_tsv(spark, str(file)).first()
     assert row.product_id is None and row.properties == '{"a": "x\ty"}'
