@@ -276,6 +276,87 @@ VARIANT = """variant AS (
 
 RULE_COLUMNS = "tenant_id, product_a_id, product_b_id, co_count, confidence"
 
+FAULTY = """f_tenant AS (
+  SELECT 't' || r_regionkey AS id, CASE WHEN r_regionkey <> 3 THEN r_name END AS name,
+    lower(r_name) AS slug, 'pro' AS plan_tier, 1 AS created_at
+  FROM region, (SELECT unnest([0, 1]) AS copy) WHERE copy = 0 OR r_regionkey = 1),
+f_user AS (
+  SELECT c_custkey AS id, 't' || (c_custkey % 7) AS tenant_id,
+    CASE WHEN c_custkey % 50 = 9 THEN 'shared@example.org' ELSE c_name END AS email,
+    CASE WHEN c_custkey % 30 <> 4 THEN 'x' END AS password_hash, c_name AS display_name,
+    CASE WHEN c_custkey % 25 = 6 THEN 'boss' ELSE 'viewer' END AS role FROM customer),
+f_product AS (
+  SELECT CAST(p_partkey AS VARCHAR) AS id,
+    CASE WHEN p_partkey % 40 = 5 THEN 't9' ELSE 't' || (p_partkey % 3) END AS tenant_id,
+    'ext' AS external_id, p_name AS title, p_retailprice AS price,
+    CASE WHEN p_partkey % 40 <> 1 THEN p_type END AS category, TRUE AS active
+  FROM part, (SELECT unnest([0, 1]) AS copy) WHERE copy = 0 OR p_partkey % 50 = 3),
+f_event AS (
+  SELECT event_id, id, tenant_id, CASE WHEN event_id % 97 <> 0 THEN customer_id END AS customer_id,
+    CASE WHEN event_id % 101 = 0 THEN 'jump' ELSE event_type END AS event_type, product_id, ts
+  FROM ev, (SELECT unnest([0, 1]) AS copy) WHERE copy = 0 OR event_id % 500 = 7),
+f_features AS (
+  SELECT tenant_id, customer_id, 'map' AS category_affinity,
+    CASE WHEN customer_id NOT LIKE '%3' THEN 1 END AS total_revenue
+  FROM agg, (SELECT unnest([0, 1]) AS copy) WHERE copy = 0 OR customer_id LIKE '%7'),
+f_check AS (
+  SELECT tenant_id, CASE WHEN tenant_id = 't1' THEN repeat('p', 101) ELSE 'job' END AS pipeline_name
+  FROM held, (SELECT unnest([0, 1]) AS copy) WHERE copy = 0 OR tenant_id = 't0'),
+f_rule AS (
+  SELECT tenant_id, product_a_id, product_b_id,
+    CASE WHEN product_a_id LIKE '%1' THEN 2 ELSE co_count END AS co_count,
+    CASE WHEN product_b_id LIKE '%2' THEN 1.5 ELSE confidence END AS confidence
+  FROM cooc, (SELECT unnest([0, 1]) AS copy) WHERE copy = 0 OR product_a_id LIKE '%4'),
+f_decision AS (
+  SELECT tenant_id, nullif(customer_id, 'cold') AS customer_id,
+    CASE WHEN tenant_id = 't2' THEN repeat('s', 101) ELSE surface END AS surface,
+    CASE WHEN customer_id = 'cold' THEN 'one' ELSE request_id END AS decision_id,
+    'v' AS model_version FROM asked)"""
+
+
+def _faults() -> str:
+    """One row per rule: the table, the rule's name, and how many rows or keys break it."""
+    tables = {
+        "tenant": ("f_tenant", "id name slug plan_tier created_at", ["id", "slug"]),
+        "user": ("f_user", "id tenant_id email password_hash display_name role", ["id", "email"]),
+        "product": ("f_product", "id tenant_id external_id title price category active", ["id"]),
+        "interactionevent": ("f_event", "tenant_id customer_id event_type ts", ["id,ts"]),
+        "customer_features": ("f_features", "tenant_id customer_id category_affinity total_revenue",
+                              ["customer_id,tenant_id"]),
+        "pipeline_checkpoints": ("f_check", "tenant_id pipeline_name", ["tenant_id,pipeline_name"]),
+        "product_cooccurrence": ("f_rule", "tenant_id product_a_id product_b_id co_count confidence",
+                                 ["tenant_id,product_a_id,product_b_id"]),
+        "recommendation_decisions": ("f_decision", "tenant_id customer_id surface decision_id",
+                                     ["decision_id"]),
+    }
+    row = "SELECT '{}' AS table_name, '{}' AS check_name, count(*) AS violations FROM {}"
+    out = []
+    for name, (source, required, keys) in tables.items():
+        for c in required.split():
+            out.append(row.format(name, f"not_null:{c}".replace(":ts", ":timestamp"), f"{source} WHERE {c} IS NULL"))
+        for key in keys:
+            repeats = f"(SELECT 1 FROM {source} GROUP BY {key} HAVING count(*) > 1)"
+            out.append(row.format(name, f"unique:{key}".replace(",ts", ",timestamp"), repeats))
+    tests = [
+        ("interactionevent", "domain:event_type", "f_event WHERE event_type = 'jump'"),
+        ("interactionevent", "partition:timestamp",
+         "f_event WHERE NOT (ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-16')"),
+        ("user", "domain:role", "f_user WHERE role NOT IN ('admin', 'power_user', 'operator', 'viewer')"),
+        ("pipeline_checkpoints", "length:pipeline_name", "f_check WHERE length(pipeline_name) > 100"),
+        *(("recommendation_decisions", f"length:{c}", f"f_decision WHERE length({c}) > 100")
+          for c in ("surface", "decision_id", "model_version")),
+        ("product_cooccurrence", "range:co_count", "f_rule WHERE co_count < 3"),
+        ("product_cooccurrence", "range:confidence", "f_rule WHERE NOT (confidence > 0 AND confidence <= 1)"),
+        ("product", "foreign:tenant_id", "f_product WHERE tenant_id NOT IN (SELECT id FROM f_tenant)"),
+        ("user", "foreign:tenant_id", "f_user WHERE tenant_id NOT IN (SELECT id FROM f_tenant)"),
+        ("interactionevent", "foreign:product_id,tenant_id",
+         "f_event WHERE product_id IS NOT NULL AND (product_id, tenant_id) NOT IN (SELECT (id, tenant_id) FROM f_product)"),
+    ]
+    return "\nUNION ALL ".join([*out, *(row.format(*(x.replace("'", "''") if k < 2 else x for k, x in enumerate(t))) for t in tests)])
+
+
+FAULTS = _faults()
+
 ORACLE: dict[str, str] = {
     "tenant_scoped_events": sql([EV], f"SELECT {EVENT_COLUMNS} FROM ev WHERE tenant_id = 't1'"),
     "ingest_accepted": sql(
@@ -543,31 +624,7 @@ FROM placed GROUP BY 1, 2""",
           CAST(count(n) AS DOUBLE) / count(*) AS conversion
         FROM variant v LEFT JOIN buyer USING (tenant_id, customer_id) GROUP BY 1, 2""",
     ),
-    "integrity_report": sql(
-        [EV, PR, pairs()],
-        """SELECT table_name, check_name, CAST(violations AS BIGINT) AS violations FROM (
-        SELECT 'tenant' AS table_name, unnest(['not_null:id', 'not_null:name', 'not_null:slug',
-          'not_null:plan_tier', 'not_null:created_at', 'unique:id', 'unique:slug']) AS check_name,
-          0 AS violations
-        UNION ALL SELECT 'product', unnest(['not_null:id', 'not_null:tenant_id',
-          'not_null:external_id', 'not_null:title', 'not_null:price', 'not_null:category',
-          'not_null:active', 'unique:id', 'foreign:tenant_id']), 0
-        UNION ALL SELECT 'interactionevent', unnest(['not_null:tenant_id', 'not_null:customer_id',
-          'not_null:event_type', 'not_null:timestamp', 'domain:event_type',
-          'unique:id,timestamp']), 0
-        UNION ALL SELECT 'interactionevent', 'partition:timestamp', count(*) FROM ev
-          WHERE NOT (ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-16')
-        UNION ALL SELECT 'interactionevent', 'foreign:product_id,tenant_id', count(*) FROM ev
-          WHERE product_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM pr
-            WHERE pr.id = ev.product_id AND pr.tenant_id = ev.tenant_id)
-        UNION ALL SELECT 'product_cooccurrence', unnest(['not_null:tenant_id',
-          'not_null:product_a_id', 'not_null:product_b_id', 'not_null:co_count',
-          'not_null:confidence', 'unique:tenant_id,product_a_id,product_b_id']), 0
-        UNION ALL SELECT 'product_cooccurrence', 'range:co_count', count(*) FROM cooc
-          WHERE co_count < 3
-        UNION ALL SELECT 'product_cooccurrence', 'range:confidence', count(*) FROM cooc
-          WHERE NOT (confidence > 0 AND confidence <= 1))""",
-    ),
+    "integrity_report": sql([EV, PR, ENR, features("enr", AS_OF), pairs(), reqs(False), HELD, FAULTY], FAULTS),
     "checked_requests": sql(
         [EV],
         """SELECT tenant_id, customer_id,

@@ -29,7 +29,7 @@ from basketry.plans.recommend import (
 )
 from basketry.plans.ingest import ingest_to_lake
 from basketry.plans.refresh_cooccurrence import refresh_cooccurrence
-from basketry.schemas import COOCCURRENCE, CUSTOMER, DECISIONS, FEATURE_JOB
+from basketry.schemas import COOCCURRENCE, CUSTOMER, DECISIONS, FEATURE_JOB, MODEL_VERSION
 from basketry.session import configure, materialize, shared_dir
 from basketry.sources import lake, tables
 from basketry.sources import testbed as tb
@@ -613,16 +613,77 @@ def ab_results(spark, sf_dir):
     return tables.current(spark, root, results.schema)
 
 
+def _gone(name: str, test: str, value: str = "NULL"):
+    """The column with another value where the test holds."""
+    return F.expr(f"if(coalesce({test}, false), {value}, {name})").alias(name)
+
+
+def _repeated(rows: DataFrame, test: str) -> DataFrame:
+    return rows.unionByName(rows.filter(test))
+
+
+def faulty_tables(spark, sf_dir) -> dict[str, DataFrame]:
+    """All eight tables, with faults planted by rules on their ids; the SQL counts them anew."""
+    events = tb.events(spark, sf_dir)
+    number = "cast(id AS bigint)"
+    people = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        F.col("c_custkey").cast("string").alias("id"),
+        F.expr("'t' || (c_custkey % 7)").alias("tenant_id"),
+        F.expr("if(c_custkey % 50 = 9, 'shared@example.org', c_name)").alias("email"),
+        F.expr("if(c_custkey % 30 = 4, NULL, 'x')").alias("password_hash"),
+        F.col("c_name").alias("display_name"),
+        F.expr("if(c_custkey % 25 = 6, 'boss', 'viewer')").alias("role"),
+    )
+    held = checkpoints(spark, sf_dir)
+    decided = tb.requests(spark, sf_dir).select(
+        "tenant_id", F.expr("nullif(customer_id, 'cold')").alias("customer_id"),
+        F.expr("if(tenant_id = 't2', repeat('s', 101), surface)").alias("surface"),
+        F.expr("if(customer_id = 'cold', 'one', request_id)").alias("decision_id"),
+        F.lit(MODEL_VERSION).alias("model_version"),
+    )
+    rules = materialize(pairs_at(spark, sf_dir), "pairs")
+    return {
+        "tenant": _repeated(
+            tb.tenants(spark, sf_dir).withColumn("name", _gone("name", "id = 't3'")), "id = 't1'"
+        ),
+        "user": people,
+        "product": _repeated(
+            tb.products(spark, sf_dir).withColumns({
+                "category": _gone("category", f"{number} % 40 = 1"),
+                "tenant_id": _gone("tenant_id", f"{number} % 40 = 5", "'t9'"),
+            }),
+            f"{number} % 50 = 3",
+        ),
+        "interactionevent": _repeated(
+            events.withColumns({
+                "customer_id": _gone("customer_id", f"{number} % 97 = 0"),
+                "event_type": _gone("event_type", f"{number} % 101 = 0", "'jump'"),
+            }),
+            f"{number} % 500 = 7",
+        ),
+        "customer_features": _repeated(
+            materialize(features_at(spark, sf_dir), "features").withColumn("total_revenue", _gone("total_revenue", "customer_id LIKE '%3'")),
+            "customer_id LIKE '%7'",
+        ),
+        "pipeline_checkpoints": _repeated(
+            held.withColumn("pipeline_name", _gone("pipeline_name", "tenant_id = 't1'", "repeat('p', 101)")),
+            "tenant_id = 't0'",
+        ),
+        "product_cooccurrence": _repeated(
+            rules.withColumns({
+                "co_count": _gone("co_count", "product_a_id LIKE '%1'", "2"),
+                "confidence": _gone("confidence", "product_b_id LIKE '%2'", "1.5D"),
+            }),
+            "product_a_id LIKE '%4'",
+        ),
+        "recommendation_decisions": decided,
+    }
+
+
 @query
 def integrity_report(spark, sf_dir):
     return quality.integrity_report(
-        {
-            "tenant": tb.tenants(spark, sf_dir),
-            "product": tb.products(spark, sf_dir),
-            "interactionevent": tb.events(spark, sf_dir),
-            "product_cooccurrence": materialize(pairs_at(spark, sf_dir), "pairs"),
-        },
-        partitions=[("2024-01-01", "2024-01-16")],
+        faulty_tables(spark, sf_dir), partitions=[("2024-01-01", "2024-01-16")]
     )
 
 
