@@ -535,7 +535,7 @@ placed AS (
   SELECT *, row_number() OVER (PARTITION BY tenant_id, surface ORDER BY value) - 1 AS place,
     count(*) OVER (PARTITION BY tenant_id, surface) AS n FROM log)
 SELECT tenant_id, surface, count(*) AS requests, min(value) AS fastest, max(value) AS slowest,
-  CAST(sum(CAST(value AS DECIMAL(24,6))) AS DOUBLE) / count(*) AS average,
+  CAST(sum(CAST(value AS DECIMAL(38,12))) AS DOUBLE) / count(*) AS average,
   max(value) FILTER (WHERE place = least(CAST(floor(n * 0.50::DOUBLE) AS BIGINT), n - 1)) AS p50,
   max(value) FILTER (WHERE place = least(CAST(floor(n * 0.90::DOUBLE) AS BIGINT), n - 1)) AS p90,
   max(value) FILTER (WHERE place = least(CAST(floor(n * 0.95::DOUBLE) AS BIGINT), n - 1)) AS p95,

@@ -13,6 +13,7 @@ from basketry.schemas import MODEL_VERSION
 from basketry.sources.tables import append_new
 
 RANKED_ITEM = "struct<rank:int,product_id:string,score:double,reason:string>"
+WIDE = "decimal(38,12)"
 PERCENTILES = {"p50": 0.50, "p90": 0.90, "p95": 0.95, "p99": 0.99}
 
 
@@ -63,14 +64,19 @@ def latency_summary(
     Percentile p is the value at zero-based place ``min(int(n * p), n - 1)``. It is found
     exactly without sorting a group in one task: equal values are counted, counts are
     added up over coarse logarithmic buckets, and only values within one bucket are put
-    in order. The mean adds up decimals of six places, so it does not depend on order.
+    in order. The mean adds up decimals of twelve places, so it does not depend on order;
+    groups with values too large for that (from 10^26) are added up as doubles.
     """
     by = ["tenant_id", "surface"] if by is None else by
     v = F.col(value)
     counts = (
         log.filter(v.isNotNull())
         .groupBy(*by, v.alias("v"))
-        .agg(F.count("*").alias("n"))
+        .agg(
+            F.count("*").alias("n"),
+            F.try_sum(v.try_cast(WIDE)).alias("exact"),
+            F.count(v.try_cast(WIDE)).alias("fitting"),
+        )
         .withColumn("bucket", F.floor(F.signum("v") * F.log2(F.abs("v") + 1) * 64))
     )
     up_to_bucket = (
@@ -84,7 +90,8 @@ def latency_summary(
             F.sum("n").alias("bucket_n"),
             F.min("v").alias("low"),
             F.max("v").alias("high"),
-            F.sum(F.col("v").cast("decimal(24,6)") * F.col("n")).alias("bucket_sum"),
+            F.when(F.sum("fitting") == F.sum("n"), F.try_sum("exact")).alias("exact"),
+            F.sum(F.col("v").cast("double") * F.col("n")).alias("about"),
         )
         .withColumn("ahead", F.sum("bucket_n").over(up_to_bucket) - F.col("bucket_n"))
         .withColumn("requests", F.sum("bucket_n").over(whole))
@@ -93,7 +100,13 @@ def latency_summary(
         F.sum("bucket_n").alias("requests"),
         F.min("low").alias("fastest"),
         F.max("high").alias("slowest"),
-        (F.sum("bucket_sum").cast("double") / F.sum("bucket_n")).alias("average"),
+        (
+            F.coalesce(
+                F.when(F.count("exact") == F.count("*"), F.try_sum("exact")).cast("double"),
+                F.sum("about"),
+            )
+            / F.sum("bucket_n")
+        ).alias("average"),
     )
     in_bucket = (
         Window.partitionBy(*by, "bucket").orderBy("v")

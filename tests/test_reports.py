@@ -185,3 +185,11 @@ def test_anchors_latest_five(spark):
                    ("A", "c", "purchase", "old", NOW - 31 * DAY)])
     got = cand.recent_anchors(ev, NOW).orderBy("rank")
     assert [r.product_id for r in got.collect()] == ["p0", "p6", "p1", "p2", "p3"]
+
+
+def test_latency_mean_of_small_and_huge_values(spark):
+    log = spark.createDataFrame(
+        [("A", "home", v) for v in (1e-9, 2e-9, 3e-9)] + [("A", "cart", v) for v in (1e30, 3e30)],
+        "tenant_id STRING, surface STRING, latency_ms DOUBLE")
+    got = {r.surface: r.average for r in dec.latency_summary(log).collect()}
+    assert got == {"home": pytest.approx(2e-9), "cart": pytest.approx(2e30)}
