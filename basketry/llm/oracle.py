@@ -141,3 +141,31 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE gone IS NOT TRUE), '')) AS kept_sha256
 FROM marked GROUP BY r, doc_id
 """
+
+ORACLE["op10_ngram_jaccard_join"] = """
+WITH RECURSIVE worded AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+), grams AS (
+  SELECT DISTINCT r, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) AS gram
+  FROM worded WHERE len(w) > 0 AND doc_id IS NOT NULL
+), sizes AS (
+  SELECT r, count(*) AS size FROM grams GROUP BY r
+), shared AS (
+  SELECT a.r AS x, b.r AS y, count(*) AS n FROM grams a JOIN grams b ON a.gram = b.gram AND a.r < b.r GROUP BY a.r, b.r
+), near AS (
+  SELECT x, y FROM shared JOIN sizes s ON s.r = x JOIN sizes t ON t.r = y WHERE n / (s.size + t.size - n) >= 0.8
+), links AS (
+  SELECT x, y FROM near UNION ALL SELECT y, x FROM near
+), reach AS (
+  SELECT x, x AS y FROM (SELECT DISTINCT x FROM links)
+  UNION
+  SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+), classes AS (
+  SELECT reach.x, min(doc_id) AS class_id FROM reach JOIN worded ON worded.r = reach.y GROUP BY reach.x
+)
+SELECT doc_id, (SELECT count(*) FROM links WHERE links.x = r)::BIGINT AS n_links, coalesce(class_id, doc_id) AS class_id,
+       coalesce(doc_id = coalesce(class_id, doc_id), FALSE) AS kept
+FROM worded LEFT JOIN classes ON classes.x = worded.r
+"""
