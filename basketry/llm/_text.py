@@ -6,6 +6,7 @@ so that neither tokenizing nor hashing loops over tokens in Python.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -14,8 +15,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
+_libc = ctypes.CDLL(None)
 # Texts are worked on in runs of about this many bytes, so that temporaries stay small.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _BASE = U64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -71,6 +73,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers are used again and would keep the most they ever held."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_libc, "malloc_trim", None):
+        trim(0)
+
+
 def runs(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows with about ``size`` bytes each."""
     data, at = buffers(column)
@@ -79,6 +88,7 @@ def runs(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int,
         j = max(i + 1, int(np.searchsorted(at, at[i] + size, "right")) - 1)
         yield i, j, data[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
+    give_back()
 
 
 class Tokens(NamedTuple):

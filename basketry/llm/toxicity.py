@@ -15,7 +15,7 @@ from basketry.session import materialize
 
 # The fit uses at most this many labelled documents of each class, and this many tagged sequences.
 MOST_TOXIC, MOST_CLEAN = 4000, 12000
-TOXIC_RUNS, CLEAN_RUNS = 4000, 8000
+TOXIC_RUNS, CLEAN_RUNS = 2000, 4000
 # Of the clean sequences this share is looked at; the field sees the words of a text in runs of RUN.
 CLEAN_SHARE = 0.15
 RUN = 64
