@@ -9,7 +9,7 @@ from basketry.llm._text import U64
 _SIX = [(32, U64(0xFFFFFFFF)), (16, U64(0xFFFF)), (8, U64(0xFF)), (4, U64(0xF)), (2, U64(0x3)), (1, U64(0x1))]
 
 def encode(values: np.ndarray) -> bytes:
-    """Lower bits packed, upper bits in unary, and the ones before each word of these."""
+    """Lower bits packed, upper bits in unary, and the ones and zeros before each word of these."""
     values = np.asarray(values, U64)
     n, top = len(values), int(values[-1]) if len(values) else 0
     low = max(0, (top // max(1, n)).bit_length() - 1) if n else 0
@@ -25,8 +25,9 @@ def encode(values: np.ndarray) -> bytes:
         over = (at & 63) + low > 64
         np.bitwise_or.at(packed, (at[over] >> 6) + 1, part[over] >> (U64(64) - shift[over]))
     ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high).astype(np.int64))])
+    zeros = np.arange(len(ones)) * 64 - ones
     head = np.array([n, low, len(packed), words, len(ones)], U64)
-    return b"".join(x.tobytes() for x in (head, packed, high, ones.astype(U64)))
+    return b"".join(x.tobytes() for x in (head, packed, high, ones.astype(U64), zeros.astype(U64)))
 
 
 class EliasFano:
@@ -35,12 +36,12 @@ class EliasFano:
     def __init__(self, words: np.ndarray):
         self.n, self.low, a, b, c = (int(x) for x in words[:5])
         self.packed, self.high = words[5 : 5 + a], words[5 + a : 5 + a + b]
-        self.ones = words[5 + a + b : 5 + a + b + c].astype(np.int64)
-        self.zeros = np.arange(c, dtype=np.int64) * 64 - self.ones
+        self.ones, self.zeros = words[5 + a + b : 5 + a + b + c], words[5 + a + b + c :]
         self.mask = U64((1 << self.low) - 1)
 
     def _select(self, k: np.ndarray, before: np.ndarray, flip: bool) -> np.ndarray:
         """Position of the k-th set (or unset) upper bit."""
+        k = k.astype(U64)
         at = np.searchsorted(before, k, "right") - 1
         word = self.high[at]
         if flip:

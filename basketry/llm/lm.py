@@ -75,6 +75,18 @@ def _sequence(path: str) -> EliasFano:
     return EliasFano(mapped(path))
 
 
+_open: list[str] = []
+
+
+def _use(model: Model) -> Model:
+    """Forget the files of any other model; a worker process may serve several in turn."""
+    if _open != [model.folder]:
+        _sequence.cache_clear()
+        mapped.cache_clear()
+        _open[:] = [model.folder]
+    return model
+
+
 def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(shard, kind="stable")
     names, at = np.unique(shard[order], return_index=True)
@@ -194,6 +206,7 @@ def _count(model: Model, order: int):
     """The n-grams of each run of texts with their counts, packed by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _use(model)
         for batch in batches:
             for _, _, data, at in runs(batch.column(0), TEXT_RUN):
                 code, row = sequence(data, at)
@@ -252,6 +265,7 @@ def _build_grams(model: Model, order: int, context_counts):
     level, folder = model.levels[order], f"{model.folder}/{order}"
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        _use(model)
         shard = int(group["shard"].iloc[0])
         keys, counts, ranks = _gathered(group)
         first = int(level.cuts[shard - 1] >> U64(32)) if shard else 0
@@ -372,7 +386,7 @@ def train(docs: DataFrame, order: int = 3, shards: int | None = None) -> Model:
 
 def _score(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = held.value
+        model: Model = _use(held.value)
         total, distinct = model.total, model.distinct
         for batch in batches:
             for i, j, data, at in runs(batch.column("text"), TEXT_RUN):
