@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from basketry.llm import _bloom
 from basketry.llm._components import connected_components, local_components
-from basketry.llm._text import U64, hashes, mix, runs, shingles, tokens
+from basketry.llm._text import U64, give_back, hashes, mix, runs, shingles, tokens
 from basketry.session import materialize
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -273,6 +273,7 @@ def _verify(threshold: float):
             p, q = left[x], right[y]
             links += np.bincount(p, copies[q], len(ids)).astype(np.int64) + np.bincount(q, copies[p], len(ids)).astype(np.int64)
             label = local_components(len(ids), p, q)
+        give_back()
         return pd.DataFrame({"rep": ids, "root": ids[label], "links": links})
 
     return run

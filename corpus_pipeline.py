@@ -13,9 +13,19 @@ from basketry.llm._text import crc_bucket
 from basketry.session import materialize
 
 
+# Rows that pass to a Python worker at a time; with whole texts this bounds its memory and the JVM's buffers.
+BATCH_ROWS = 2000
+
+
+def ready(spark: SparkSession) -> None:
+    """Send the package to the executors, and let texts travel in small batches."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic; the model learns from all labels but those of the held-out fold."""
-    ship(spark)
+    ready(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     field = toxicity.train(docs, labels.where(crc_bucket(F.col("doc_id"), 5) != 0))
     return toxicity.score(docs, field).where("__score < 0.5").select(docs.columns)
@@ -23,7 +33,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take repeated lines out of the texts; every document stays, ``n_chars`` follows its text."""
-    ship(spark)
+    ready(spark)
     kept = line_dedup.dedup_lines(docs)
     changed = F.when(F.col("__n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", changed).select(docs.columns)
@@ -31,7 +41,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id; documents without an id stay."""
-    ship(spark)
+    ready(spark)
     classes = ngram_join.near_duplicates(docs)
     gone = materialize(classes.where("doc_id <> class_id").select("doc_id").distinct(), "duplicates")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
@@ -44,7 +54,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, n_tokens, ids): every document as piece ids."""
-    ship(spark)
+    ready(spark)
     encoded = piece_codec.encode(docs.select("doc_id", "source", "text"))
     return encoded.select("doc_id", "source", F.size("__ids").cast("long").alias("n_tokens"), F.col("__ids").alias("ids"))
 
@@ -60,7 +70,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; what each stage keeps is written and read again as the next one's input."""
-    ship(spark)
+    ready(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
