@@ -18,9 +18,8 @@ from basketry.llm._store import mapped, write
 from basketry.llm._text import U64, crc_bucket, hashes, mix, runs, tokens
 from basketry.session import shared_dir
 
-# Subtracted from every count and given to the lower order; an n-gram of order three is kept from two counts.
+# Subtracted from every count and given to the lower order.
 DISCOUNT = 0.75
-LEAST_THREE = 2
 # Probabilities are stored in steps of 1/16 of log10, in one byte.
 STEPS = 16
 END = mix(np.array([0x454E44], U64))[0]
@@ -191,18 +190,29 @@ def _pairs(model: Model, number: np.ndarray, row: np.ndarray, counts: bool = Fal
     return out
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """All first bytes, then all second ones and so on: the shuffle's codec shortens these, but not whole numbers."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _numbers_of(planes: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
 def _packed(shard: np.ndarray, keys: np.ndarray, counts: np.ndarray, ranks: np.ndarray | None = None) -> pa.RecordBatch:
+    """A row per shard; the sorted keys as steps from one to the next."""
     names, columns = [], ([], [], [])
     for name, at in _by_shard(shard):
         names.append(name)
-        for column, values in zip(columns, (keys.astype(U64), (ranks if ranks is not None else np.empty(0)).astype(np.uint32), counts.astype(np.uint32))):
-            column.append(values[at].tobytes() if len(values) else b"")
+        columns[0].append(_planes(np.diff(keys[at].astype(U64), prepend=U64(0))))
+        columns[1].append(_planes(ranks[at].astype(np.uint32)) if ranks is not None else b"")
+        columns[2].append(_planes(counts[at].astype(np.uint32)))
     return pa.RecordBatch.from_arrays(
         [pa.array(names, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], ["shard", "keys", "ranks", "counts"]
     )
 
 
-def _count(model: Model, order: int):
+def _count(model: Model, order: int, least: int):
     """The n-grams of each run of texts with their counts, packed by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,9 +231,9 @@ def _count(model: Model, order: int):
                     key, counts = np.unique(key, return_counts=True)
                     yield _packed(np.searchsorted(model.levels[2].cuts, key, "right"), key, counts)
                     continue
-                # Three words can only occur twice if both of their pairs do.
-                pair = _pairs(model, number, row, counts=True)
-                often = pair["count"] >= LEAST_THREE
+                # Three words can only occur so often if both of their pairs do.
+                pair = _pairs(model, number, row, counts=least > 1)
+                often = pair["count"] >= least if least > 1 else pair["position"] >= 0
                 at3 = np.flatnonzero(often[1:] & often[:-1]) + 1
                 key = (pair["position"][at3 - 1].astype(U64) << U64(32)) | number[at3].astype(U64)
                 key, first, counts = np.unique(key, return_index=True, return_counts=True)
@@ -233,10 +243,10 @@ def _count(model: Model, order: int):
 
 
 def _gathered(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys = np.concatenate([np.frombuffer(x, U64) for x in group["keys"]])
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in group["counts"]]).astype(np.int64)
+    keys = np.concatenate([np.cumsum(_numbers_of(x, U64)) for x in group["keys"]])
+    counts = np.concatenate([_numbers_of(x, np.uint32) for x in group["counts"]]).astype(np.int64)
     keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    ranks = np.concatenate([np.frombuffer(x, np.uint32) for x in group["ranks"]])
+    ranks = np.concatenate([_numbers_of(x, np.uint32) for x in group["ranks"]])
     return keys, np.bincount(inverse, counts, len(keys)).astype(np.int64), ranks[first].astype(np.int64) if len(ranks) else ranks
 
 
@@ -261,7 +271,7 @@ def _build_words(folder: str):
     return run
 
 
-def _build_grams(model: Model, order: int, context_counts):
+def _build_grams(model: Model, order: int, context_counts, least: int):
     level, folder = model.levels[order], f"{model.folder}/{order}"
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -269,8 +279,8 @@ def _build_grams(model: Model, order: int, context_counts):
         shard = int(group["shard"].iloc[0])
         keys, counts, ranks = _gathered(group)
         first = int(level.cuts[shard - 1] >> U64(32)) if shard else 0
-        if order == 3:
-            kept = counts >= LEAST_THREE
+        if order == 3 and least > 1:
+            kept = counts >= least
             keys, counts, ranks = keys[kept], counts[kept], ranks[kept]
             if not len(keys):
                 return pd.DataFrame(columns=[x.split()[0] for x in TOLD.split(", ")])
@@ -293,7 +303,8 @@ def _build_grams(model: Model, order: int, context_counts):
         write(f"{folder}/{shard}.rest", _bytes_file(rest))
         if order == 2:
             write(f"{folder}/{shard}.sums", encode(np.concatenate([[0], np.cumsum(counts)])))
-            write(f"{folder}/{shard}.few", _bytes_file(np.minimum(counts, 255).astype(np.uint8)))
+            if least > 1:
+                write(f"{folder}/{shard}.few", _bytes_file(np.minimum(counts, 255).astype(np.uint8)))
         ends = (int(context[0]), int(size[0]), float(used[0]), int(context[-1]), int(size[-1]), float(used[-1]))
         return _told(shard, counts, np.arange(len(counts)), ends)
 
@@ -344,14 +355,15 @@ def _level(rows: list, cuts: np.ndarray) -> Level:
     return Level(cuts, np.concatenate([[0], np.cumsum(size)]), before, np.array(several, np.int64), share)
 
 
-def train(docs: DataFrame, order: int = 3, shards: int | None = None) -> Model:
+def train(docs: DataFrame, order: int = 3, shards: int | None = None, least: int = 1) -> Model:
     """Count the n-grams of all texts (column text) and build the trie in the shared folder.
 
     One pass over the texts for each order. Words are numbered by their place in the order of their
     hashes. A level is cut into ranges of (context, word) of like mass, counted and built by one
     task each; n-grams are first added up in each run of texts, and a frequent context is cut by its
     words, so none is gathered in one task. The driver has a row per shard. Numbers of words and of
-    pairs must stay below 2^32.
+    pairs must stay below 2^32. All n-grams are kept, unless ``least`` asks for trigrams from so many
+    counts on (at most 255).
     """
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -359,7 +371,7 @@ def train(docs: DataFrame, order: int = 3, shards: int | None = None) -> Model:
     texts = docs.select("text")
 
     def built(order_: int, build) -> list:
-        packed = texts.mapInArrow(_count(model, order_), PACK)
+        packed = texts.mapInArrow(_count(model, order_, least), PACK)
         return sorted(packed.groupBy("shard").applyInPandas(build, TOLD).collect(), key=lambda r: r.shard)
 
     rows = built(1, _build_words(model.folder))
@@ -375,7 +387,7 @@ def train(docs: DataFrame, order: int = 3, shards: int | None = None) -> Model:
             raise ValueError("a level has more than 2^32 entries")
         cuts = _cuts(rows, offset, shards, model.distinct)
         model.levels[k] = Level(cuts, np.zeros(len(cuts) + 2, np.int64), np.zeros(len(cuts) + 1, np.int64), np.empty(0, np.int64), np.empty(0))
-        rows = built(k, _build_grams(model, k, _word_totals if k == 2 else _pair_totals))
+        rows = built(k, _build_grams(model, k, _word_totals if k == 2 else _pair_totals, least))
         if not rows:
             del model.levels[k]
             break
@@ -433,13 +445,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(_score(held), f"{fields}, __n_tokens long, __n_known long, __base double, __score double")
 
 
-def lm_report(docs: DataFrame, folds: int = 7, held: int = 2, order: int = 3, shards: int | None = None) -> DataFrame:
+def lm_report(docs: DataFrame, folds: int = 7, held: int = 2, order: int = 3, shards: int | None = None, least: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); learned from the rows outside the fold.
 
-    Rows without an id are not learned from and not held out.
+    Rows without an id are not learned from and not held out. Trigrams are kept from ``least`` counts
+    on; the query asks for all of them.
     """
     fold = crc_bucket(F.col("doc_id"), folds)
-    model = train(docs.where(fold != held), order, shards)
+    model = train(docs.where(fold != held), order, shards, least)
     return score(docs.select("doc_id", "text"), model).select(
         "doc_id",
         F.coalesce(fold == held, F.lit(False)).alias("held_out"),

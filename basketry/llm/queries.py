@@ -25,7 +25,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.lm_report(table(spark, sf_dir, "documents"))
+    return lm.lm_report(table(spark, sf_dir, "documents"), least=1)
 
 
 def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from basketry.llm import _pieces, language, licenses, line_dedup, lm, mixing, ngram_join, oracle, piece_codec, toxicity
+from basketry.llm import _pieces, language, licenses, line_dedup, lm, mixing, ngram_join, oracle, piece_codec, queries, toxicity
 from basketry.llm._text import runs
 from basketry.llm.license_texts import TEMPLATES
 from tests.llm.test_parts import find_roots
@@ -212,6 +212,40 @@ def test_language_model(spark):
     assert [(r.score, r.base_score, r.train_tokens) for r in untrained] == [(0, 0, 0)] * 2
 
 
+def test_language_model_keeps_every_trigram(spark, tmp_path):
+    rng = random.Random(16)
+    rows = [(i, sentence(rng, rng.randint(1, 60), 40)) for i in range(60)] + [(100 + i, x) for i, x in enumerate(ODD)] + [(3, "once only here"), (None, "not learned from")]
+    learned = [(i, t) for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
+    seen = {1: collections.Counter(), 2: collections.Counter(), 3: collections.Counter()}
+    for _, text in learned:
+        w = [*words_of(text), 0]
+        for k in seen:
+            seen[k].update(zip(*(w[j:] for j in range(k))))
+    assert sum(n == 1 for n in seen[3].values()) > 100
+    model = lm.train(documents(spark, learned), shards=7)
+    assert [model.distinct, *(int(model.levels[k].offset[-1]) for k in (2, 3))] == [len(seen[k]) for k in (1, 2, 3)]
+    total, distinct, d = sum(seen[1].values()), len(seen[1]), lm.DISCOUNT
+    code = lambda p: 10 ** (-min(255, round(-math.log10(max(p, 1e-300)) * 16)) / 16)
+    used = collections.Counter()
+    for k in (2, 3):
+        for x, n in seen[k].items():
+            used[x[:-1]] += (n - d) / seen[k - 1][x[:-1]]
+
+    def chance(a, b, c):
+        p = code(max(seen[1][c,] - d, 0) / total + d * distinct / (distinct + 1) / total)
+        for context in ((b,), (a, b)):
+            if None not in context and context in used:
+                n = seen[len(context) + 1][(*context, c)]
+                p = (code((n - d) / seen[len(context)][context]) if n else 0) + code(1 - used[context]) * p
+        return p
+
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    for r in queries.op3_lm_score(spark, str(tmp_path)).collect():
+        w = [None, None, *words_of(next(t for i, t in rows if (i, len(words_of(t)) + 1) == (r.doc_id, r.n_tokens))), 0]
+        want = sum(math.log10(chance(*w[i:i + 3])) for i in range(len(w) - 2))
+        assert r.score == pytest.approx(want, rel=0.02, abs=0.1)  # as above
+
+
 # ---- pieces
 
 
