@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,64 @@ class Library:
         self.name, self.count = [x[1] for x in found], [x[2] for x in found]
         self.all = np.unique(np.array([k for x in found for k in x[2]], U64))
 
+    def stretches(self, pairs: np.ndarray, row: np.ndarray, found: list[list[tuple[str, int, int]]]) -> Iterator[tuple[int, str, int, int, float]]:
+        """(row, name, first pair, last pair, Dice) of the stretches of words that reach the threshold, best first.
+
+        ``row`` is -1 for pairs across two rows. Stretches of a name overlap neither each other nor
+        what ``found`` has of it. A stretch shares at least ``need`` pairs and is at most ``wide``
+        long, so only hits that are so dense can start one; these are compared with all their ends.
+        """
+        place = np.minimum(np.searchsorted(self.all, pairs), len(self.all) - 1)
+        known = np.flatnonzero((self.all[place] == pairs) & (row >= 0))
+        bound = self.threshold / (2 - self.threshold)
+        for k, size in enumerate(self.size.tolist()):
+            copies = np.array([self.count[k].get(x, 0) for x in self.all.tolist()])
+            at = known[copies[place[known]] > 0]
+            need, wide = max(1, int(np.ceil(size * bound - 1e-9))), int(size / bound + 1e-9)
+            if len(at) < need:
+                continue
+            ahead = at[need - 1 :]
+            starts = np.flatnonzero((ahead - at[: len(ahead)] < wide) & (row[ahead] == row[at[: len(ahead)]]))
+            if not len(starts):
+                continue
+            # Where, among the hits, a pair had been met as often as the template has it; before that, more do not count.
+            enough = np.full(len(at), -1)
+            order = np.argsort(place[at], kind="stable")
+            code = place[at][order]
+            back = np.arange(len(at)) - copies[code]
+            some = (back >= 0) & (code[back] == code)
+            enough[order[some]] = order[back[some]]
+
+            def best(s: int, before: int) -> tuple[float, int, int] | None:
+                """The best stretch from hit ``s`` that ends before the pair ``before``: (-Dice, hit, last hit)."""
+                end = int(np.searchsorted(at, min(before, at[s] + wide)))
+                end = s + int(np.searchsorted(row[at[s:end]], row[at[s]], "right"))
+                if end - s < need:
+                    return None
+                dice = 2.0 * np.cumsum(enough[s:end] < s) / (at[s:end] - at[s] + 1 + size)
+                e = int(np.argmax(dice))
+                return (-float(dice[e]), s, s + e) if dice[e] >= self.threshold else None
+
+            taken: list[tuple[int, int]] = []
+            for a, b in sorted((a, b) for r in np.unique(row[at[starts]]).tolist() for name, a, b in found[r] if name == self.name[k]):
+                if taken and a <= taken[-1][1]:
+                    a, b = taken[-1][0], max(b, taken.pop()[1])
+                taken.append((a, b))
+            heap = [x for s in starts.tolist() if (x := best(s, len(pairs)))]
+            heapify(heap)
+            while heap:
+                dice, s, e = heappop(heap)
+                a, b = int(at[s]), int(at[e])
+                i = bisect_left(taken, (a + 1,))
+                if i and taken[i - 1][1] >= a:
+                    continue
+                if i < len(taken) and taken[i][0] <= b:
+                    if shorter := best(s, taken[i][0]):
+                        heappush(heap, shorter)
+                    continue
+                taken.insert(i, (a, b))
+                yield int(row[a]), self.name[k], a, b, -dice
+
     def candidates(self, size: int) -> range:
         """Templates whose size lets a unit of ``size`` bigrams reach the threshold: 2 min / sum >= threshold."""
         if not len(self.size):
@@ -77,7 +137,7 @@ def _boundaries(data: np.ndarray, at: np.ndarray, unit: str) -> np.ndarray:
     return np.cumsum(cut)
 
 
-def _scan(templates: dict[str, str], threshold: float):
+def _scan(templates: dict[str, str], threshold: float, stretches: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = Library(templates, threshold)
         entry = pa.struct([("license", pa.string()), ("unit", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("dice", pa.float64())])
@@ -91,6 +151,7 @@ def _scan(templates: dict[str, str], threshold: float):
                     place = np.minimum(np.searchsorted(library.all, pairs), len(library.all) - 1)
                     hit = library.all[place] == pairs
                     chars = None
+                    places: list[list[tuple[str, int, int]]] = [[] for _ in out]
                     for unit in UNITS:
                         name = _boundaries(data, at, unit)[t.start]
                         first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
@@ -104,17 +165,26 @@ def _scan(templates: dict[str, str], threshold: float):
                             for license_, dice in library.matches(pairs[a:b]):
                                 chars = char_offsets(data) if chars is None else chars
                                 row = int(t.row[a])
+                                places[row].append((license_, a, b - 1))
                                 out[row].append({
                                     "license": license_, "unit": unit, "start": int(chars[t.start[a]] - chars[at[row]]),
                                     "end": int(chars[t.end[b]] - chars[at[row]]), "dice": dice,
                                 })
+                    if stretches:
+                        within = np.where(t.row[1:] == t.row[:-1], t.row[:-1], -1)
+                        for row, license_, a, b, dice in library.stretches(pairs, within, places):
+                            chars = char_offsets(data) if chars is None else chars
+                            out[row].append({
+                                "license": license_, "unit": "stretch", "start": int(chars[t.start[a]] - chars[at[row]]),
+                                "end": int(chars[t.end[b + 1]] - chars[at[row]]), "dice": dice,
+                            })
                 some = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(out, pa.list_(entry))], [*some.schema.names, "__matches"])
 
     return run
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, stretches: bool = False) -> DataFrame:
     """``docs`` with ``__matches``: the licences found, where (code point offsets), and how alike they are.
 
     Compared are the whole text, its blocks (parts between empty lines) and its lines, as words of
@@ -123,15 +193,19 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     size alone rules that out are not compared, nor units with too few bigrams known to any. A null
     or empty text, and a unit of fewer than two words, matches nothing. Other columns pass.
 
+    With ``stretches``, any run of successive words of a text is compared, too, so that a licence is
+    found wherever it stands; of those that share a pair of words only the best is listed, and none
+    that shares one with a unit that matches the same template.
+
     The templates are a fixed list that goes with the task; every text is read once, no shuffle.
     """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_scan(templates, threshold), f"{fields}, __matches {MATCH}")
+    return docs.mapInArrow(_scan(templates, threshold, stretches), f"{fields}, __matches {MATCH}")
 
 
-def license_report(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def license_report(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, stretches: bool = False) -> DataFrame:
     """(doc_id, n_matches, licenses, best_license, best_dice): names joined by commas; null and 0 where none is found."""
-    found = scan(docs.select("doc_id", "text"), templates, threshold)
+    found = scan(docs.select("doc_id", "text"), templates, threshold, stretches)
     best = F.expr("element_at(array_sort(transform(__matches, m -> struct(-m.dice as d, m.license as l))), 1)")
     some = F.size("__matches") > 0
     return found.select(

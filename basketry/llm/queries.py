@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_report(table(spark, sf_dir, "documents"))
+    return licenses.license_report(table(spark, sf_dir, "documents"), stretches=True)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,6 +107,58 @@ def test_size_bounds_lose_no_match():
         assert got == want
 
 
+def test_licenses_anywhere_in_a_text(spark, tmp_path):
+    rng = random.Random(17)
+    mit, zlib_, code = TEMPLATES["MIT"], TEMPLATES["Zlib"], sentence(rng, 150)
+    words = mit.split()
+    paragraphs = "\n\n".join(" ".join(words[i:j]) for i, j in ((0, 50), (50, 85), (85, len(words))))
+    rows = [
+        (1, paragraphs + "\n\n" + code), (2, sentence(rng, 200) + " " + mit.replace("\n", " ") + " " + code),
+        (3, (code + "\n\n" + mit + "\n\n" + code).replace("\n", "\r\n")), (4, code + "\n \n" + mit + "\n\t\n" + code),
+        (5, code + mit + zlib_ + mit + code), (6, " ".join(words[:60]) + code), (7, mit[:400]), (8, mit[400:]), (9, mit), (10, None),
+    ]
+    docs = documents(spark, rows)
+    by = {r.doc_id: r["__matches"] for r in licenses.scan(docs, stretches=True).collect()}
+    for i in (1, 2, 3, 4):
+        m, = by[i]
+        assert (m.license, m.unit) == ("MIT", "stretch") and m.dice > 0.97
+        assert abs(len(rows[i - 1][1][m.start:m.end].split()) - len(words)) <= 2
+    assert sorted(m.license for m in by[5]) == ["MIT", "MIT", "Zlib"]
+    assert not any(by[i] for i in (6, 7, 8, 10)) and "stretch" not in {m.unit for m in by[9]}
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.licenses for r in queries.op1_license_scan(spark, str(tmp_path)).collect()}
+    assert got == {1: "MIT", 2: "MIT", 3: "MIT", 4: "MIT", 5: "MIT,Zlib", 6: None, 7: None, 8: None, 9: "MIT", 10: None}
+
+
+def test_stretches_are_those_of_all_windows():
+    rng = random.Random(18)
+    for _ in range(60):
+        texts = {f"t{i}": sentence(rng, rng.randint(3, 12), 5) for i in range(3)}
+        asked = [sentence(rng, rng.randint(2, 40), 8).split() for _ in range(3)]
+        library = licenses.Library(texts, 0.8)
+        data = " ".join(itertools.chain(*asked)).encode()
+        at = np.cumsum([0, *(sum(map(len, w)) + len(w) for w in asked[:-1]), 0])
+        at[-1] = len(data)
+        t = licenses.tokens(np.frombuffer(data, np.uint8), at, licenses.ALNUM)
+        pairs = licenses.bigrams(licenses.hashes(t.sums, t.start, t.end))
+        got = list(library.stretches(pairs, np.where(t.row[1:] == t.row[:-1], t.row[:-1], -1), [[], [], []]))
+        flat = list(itertools.chain(*asked))
+        for name, text in texts.items():
+            other = collections.Counter(itertools.pairwise(text.split()))
+            windows = []
+            for a, b in itertools.combinations(range(len(flat)), 2):
+                if t.row[a] == t.row[b]:
+                    own = collections.Counter(itertools.pairwise(flat[a:b + 1]))
+                    dice = 2 * sum((own & other).values()) / (b - a + sum(other.values()))
+                    if dice >= 0.8:
+                        windows.append((dice, a, b - 1))
+            mine = [(d, a, b) for _, n, a, b, d in got if n == name]
+            assert all(x in windows for x in mine)
+            assert all(x[2] < y[1] or y[2] < x[1] for x, y in itertools.combinations(mine, 2))
+            # Every window is listed, or shares a pair with a listed one that is no worse.
+            assert all(any(a <= y and x <= b and d >= e for d, x, y in mine) for e, a, b in windows)
+
+
 # ---- toxicity
 
 
