@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -54,6 +55,13 @@ def _probes(bins: int, tries: int = 64) -> np.ndarray:
     return (mix(cells + U64(12345)) % U64(bins)).astype(np.int64)
 
 
+@lru_cache(maxsize=2)
+def _turns(bins: int) -> np.ndarray:
+    """For each bin the turn of every bin to be borrowed from, once the probes have met none that is filled."""
+    drawn = mix(np.arange(bins * bins, dtype=U64).reshape(bins, bins) + U64(0x7475726E73))
+    return np.argsort(np.argsort(drawn, axis=1), axis=1).astype(np.int32)
+
+
 def signatures(grams: np.ndarray, begin: np.ndarray, trees: int, depth: int) -> np.ndarray:
     """One-permutation MinHash: labels of ``depth`` bytes, a row of ``trees`` of them per document.
 
@@ -79,9 +87,10 @@ def signatures(grams: np.ndarray, begin: np.ndarray, trees: int, depth: int) ->
         at, bin_ = at[~found], bin_[~found]
         if not len(at):
             break
-    if len(at):  # hardly any bin is filled: the next filled one
-        first = np.argmax(filled, axis=1)[at]
-        out[at, bin_] = (low[at, first] >> U64(3)).astype(np.uint8)
+    for i in range(0, len(at), 4096):  # few bins are filled: the first of them in an order of all bins drawn for this one
+        a, b = at[i : i + 4096], bin_[i : i + 4096]
+        source = np.where(filled[a], _turns(bins)[b], bins).argmin(axis=1)
+        out[a, b] = (low[a, source] >> U64(3)).astype(np.uint8)
     path = out.reshape(docs, trees, depth)
     label = np.zeros((docs, trees), U64)
     for d in range(depth):

@@ -498,6 +498,20 @@ def test_depth_follows_the_recall():
     assert ngram_join.prefix_depth(0.8, 4, 8, 0.9999) == 1
 
 
+@pytest.mark.parametrize("size", [5, 6, 10, 25, 120])
+def test_recall_at_the_threshold(size):
+    rng, n = np.random.default_rng(size), 4000
+    less = -(-size * 4 // 5)
+    sets = rng.integers(0, 1 << 63, (n, size)).astype(np.uint64)
+    out = []
+    for x in (sets, sets[:, :less]):
+        x = np.sort(x, axis=1)
+        out.append(ngram_join.signatures(x.ravel(), np.arange(n + 1) * x.shape[1], ngram_join.TREES, ngram_join.DEPTH))
+    kept = ngram_join.prefix_depth()
+    same = (out[0] ^ out[1]) >> np.uint64(8 * (ngram_join.DEPTH - kept)) == 0
+    assert same.any(axis=1).mean() > 0.997  # 0.999 is asked for; 4,000 pairs
+
+
 def test_intersections():
     rng = np.random.default_rng(11)
     sets = [np.unique(rng.integers(0, 300, rng.integers(1, 200))).astype(np.uint64) for _ in range(50)]
