@@ -69,7 +69,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .distinct()
         )
         now = materialize(small, "edges")
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003), F.sum("a"), F.sum(F.col("b") % 1000003)).first()
+        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003), F.sum(F.col("a") % 1000003), F.sum(F.col("b") % 1000003)).first()
         if seen == print_of:
             break
         print_of = seen

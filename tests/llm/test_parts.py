@@ -84,3 +84,11 @@ def test_components(spark):
     assert got == want
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
     assert local_components(4, np.array([3, 1]), np.array([1, 2])).tolist() == [0, 1, 1, 1]
+
+
+def test_components_of_large_ids(spark):
+    top = (1 << 63) - 1
+    edges = [(top - i, top - i - 1) for i in range(6)] + [(-top + i, -top + i + 1) for i in range(0, 6, 2)]
+    got = connected_components(spark.createDataFrame(edges, "a long, b long"))
+    root = find_roots(edges)
+    assert dict(map(tuple, got.collect())) == {x: root.get(x, x) for e in edges for x in e}
