@@ -169,3 +169,60 @@ SELECT doc_id, (SELECT count(*) FROM links WHERE links.x = r)::BIGINT AS n_links
        coalesce(doc_id = coalesce(class_id, doc_id), FALSE) AS kept
 FROM worded LEFT JOIN classes ON classes.x = worded.r
 """
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a text of single-byte characters, bit by bit."""
+    byte = "list_transform(string_split({0}, ''), lambda d: ascii(d)::BIGINT)".format(text)
+    bits = "list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, xor(c, b))"
+    return f"xor(list_reduce({byte}, lambda c, b: {bits}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+_ROW = " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars")))
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE["op12_merkle_manifest"] = f"""
+WITH RECURSIVE leaves AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, sha256({_ROW} || {_field('text')}) AS leaf,
+         CASE WHEN doc_id IS NOT NULL AND {_crc32('coalesce(doc_id, 0)::VARCHAR')} % 3 = 0
+              THEN sha256({_ROW} || {_field(_LOWERED)}) ELSE sha256({_ROW} || {_field('text')}) END AS other
+  FROM documents
+), numbered AS (
+  SELECT *, dense_rank() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS t, count(*) OVER (PARTITION BY lang) AS width,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS pos
+  FROM leaves
+), low AS (
+  SELECT t, 0 AS level, pos, width, leaf AS hash FROM numbered
+  UNION ALL
+  SELECT t, level + 1, pos // 8, (any_value(width) + 7) // 8, sha256(string_agg(hash, '' ORDER BY pos))
+  FROM low WHERE width > 1 GROUP BY t, level, pos // 8
+), subroots AS (
+  SELECT t, hash AS subroot FROM low WHERE width = 1
+), high AS (
+  SELECT -1::BIGINT AS t, 0 AS level, t AS pos, count(*) OVER () AS width, subroot AS hash FROM subroots
+  UNION ALL
+  SELECT t, level + 1, pos // 8, (any_value(width) + 7) // 8, sha256(string_agg(hash, '' ORDER BY pos))
+  FROM high WHERE width > 1 GROUP BY t, level, pos // 8
+), nodes AS (
+  SELECT * FROM low UNION ALL SELECT * FROM high
+), steps AS (
+  SELECT t, level, pos, t AS up_t, level + 1 AS up_level, pos // 8 AS up_pos,
+         coalesce(string_agg(hash, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+         coalesce(string_agg(hash, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS behind, TRUE AS hashed
+  FROM nodes WHERE width > 1 WINDOW run AS (PARTITION BY t, level, pos // 8 ORDER BY pos)
+  UNION ALL
+  SELECT t, level, pos, -1, 0, t, '', '', FALSE FROM low WHERE width = 1
+), climbing AS (
+  SELECT r, t, 0 AS level, pos, '' AS proof, other AS folded FROM numbered
+  UNION ALL
+  SELECT r, up_t, up_level, up_pos, proof || before || behind, CASE WHEN hashed THEN sha256(before || folded || behind) ELSE folded END
+  FROM climbing JOIN steps USING (t, level, pos)
+), top AS (
+  SELECT level, hash AS root FROM high WHERE width = 1
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM numbered n JOIN subroots s ON s.t = n.t JOIN climbing c ON c.r = n.r AND c.t = -1 JOIN top ON top.level = c.level
+"""
