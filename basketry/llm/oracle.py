@@ -226,3 +226,42 @@ WITH RECURSIVE leaves AS (
 SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
 FROM numbered n JOIN subroots s ON s.t = n.t JOIN climbing c ON c.r = n.r AND c.t = -1 JOIN top ON top.level = c.level
 """
+
+# A node's key is the digests of its turns, one after the other; 64 digits each.
+ORACLE["op13_prefix_trie"] = f"""
+WITH said AS (
+  SELECT conv_id AS c, turn, coalesce(text, '') AS text,
+         sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, digest) AS p FROM said
+), convs AS (
+  SELECT c, count(*) AS n, c - c % 100 AS lender, {_crc32('c::VARCHAR')} % 6 AS h FROM own GROUP BY c
+), lent AS (
+  SELECT v.*, least(h, coalesce(l.n, 0)) AS k FROM convs v LEFT JOIN (SELECT c, n FROM convs) l ON l.c = v.lender
+), rebuilt AS (
+  SELECT v.c, o.p AS d, o.digest, o.text FROM lent v JOIN own o ON o.c = v.lender AND o.p <= v.h
+  UNION ALL
+  SELECT v.c, o.p - h + k, o.digest, o.text FROM lent v JOIN own o ON o.c = v.c AND o.p > v.h
+), prefixes AS (
+  SELECT c, d, string_agg(digest, '') OVER (PARTITION BY c ORDER BY d) AS prefix, length(text) AS chars,
+         d = max(d) OVER (PARTITION BY c) AS ends
+  FROM rebuilt
+  UNION ALL
+  SELECT c, 0, '', 0, c NOT IN (SELECT c FROM rebuilt) FROM convs
+), nodes AS (
+  SELECT prefix, min(c) AS conv_id, any_value(d) AS depth, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS saved,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY prefix
+), children AS (
+  SELECT left(prefix, length(prefix) - 64) AS prefix, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1
+), weighed AS (
+  SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN children USING (prefix)
+), below AS (
+  SELECT left(prefix, 64 * unnest(range(depth + 1))::INT) AS prefix, saved, n_children FROM weighed
+), sums AS (
+  SELECT prefix, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM below GROUP BY prefix
+)
+SELECT w.conv_id, w.depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, w.ends_sha256
+FROM weighed w JOIN sums USING (prefix) LEFT JOIN nodes p ON w.depth > 0 AND p.prefix = left(w.prefix, length(w.prefix) - 64)
+"""
