@@ -99,19 +99,11 @@ def paths(links: DataFrame, root: str) -> DataFrame:
     return reduce(DataFrame.unionAll, done).select("id", "path")
 
 
-def manifest(leaves: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """(doc_id, leaf, kept, subroot, root, proof) for every row of ``leaves`` (doc_id, lang, leaf, kept).
-
-    A language's leaves ascend by doc_id (null first), equal ids by their digests. While there are
-    several nodes, each run of ``fanout`` successive ones becomes the digest of its hex digests; the
-    one left is the language's subroot, a lone leaf its own. Subroots, by language (null first, by
-    bytes), lead to the root in the same way. ``proof`` lists, level by level, the digests left and
-    right of the node in its run; ``fold`` leads back to the root. ``kept`` is any column that comes
-    along. An empty table gives no rows.
+def proved_runs(leaves: DataFrame, fanout: int = FANOUT) -> tuple[DataFrame, str]:
+    """Runs (run, hash, alone, subroot, path) of successive leaves, and the root; see ``manifest``.
 
-    Places come from a range shuffle that splits a large language, id or group of equal rows. The
-    rows of a run are one row, so that trees and proofs are worked out for an eighth of the rows;
-    the leaves meet their run's proof last.
+    ``run`` holds the leaves' structs (at, hash, doc_id, kept), ``hash`` is their parent's digest, or
+    the lone leaf's if it is ``alone`` in its language, ``path`` are the siblings from there on.
     """
     spark = leaves.sparkSession
     rows = materialize(leaves.select("doc_id", "lang", "leaf", "kept", F.monotonically_increasing_id().alias("row")), "merkle-leaves")
@@ -141,13 +133,29 @@ def manifest(leaves: DataFrame, fanout: int = FANOUT) -> DataFrame:
     links += more
     proofs = paths(reduce(DataFrame.unionAll, links), root_id) if links else spark.createDataFrame([], f"id string, path {PROOF}")
     subroots = tops.select("tree", F.col("hash").alias("subroot"))
-    runs = low.join(proofs, "id", "left").join(subroots, "tree")
-    each = runs.select("run", "subroot", "path", alone.alias("alone"), F.posexplode("run").alias("i", "node"))
-    empty = F.array().cast(PROOF)
-    own = F.when(F.col("alone"), empty).otherwise(F.array(_step(F.col("run"), F.col("i"))).cast(PROOF))
+    path = F.coalesce("path", F.array().cast(PROOF)).alias("path")
+    return low.join(proofs, "id", "left").join(subroots, "tree").select("run", "hash", alone.alias("alone"), "subroot", path), root
+
+
+def manifest(leaves: DataFrame, fanout: int = FANOUT) -> DataFrame:
+    """(doc_id, leaf, kept, subroot, root, proof) for every row of ``leaves`` (doc_id, lang, leaf, kept).
+
+    A language's leaves ascend by doc_id (null first), equal ids by their digests. While there are
+    several nodes, each run of ``fanout`` successive ones becomes the digest of its hex digests; the
+    one left is the language's subroot, a lone leaf its own. Subroots, by language (null first, by
+    bytes), lead to the root in the same way. ``proof`` lists, level by level, the digests left and
+    right of the node in its run; ``fold`` leads back to the root. ``kept`` is any column that comes
+    along. An empty table gives no rows.
+
+    Places come from a range shuffle that splits a large language, id or group of equal rows. The
+    rows of a run are one row, so that trees and proofs are worked out for an eighth of the rows;
+    the leaves meet their run's proof last.
+    """
+    runs, root = proved_runs(leaves, fanout)
+    each = runs.select("*", F.posexplode("run").alias("i", "node"))
+    own = F.when(F.col("alone"), F.array().cast(PROOF)).otherwise(F.array(_step(F.col("run"), F.col("i"))).cast(PROOF))
     return each.select(
-        "node.doc_id", F.col("node.hash").alias("leaf"), "node.kept", "subroot", F.lit(root).alias("root"),
-        F.concat(own, F.coalesce("path", empty)).alias("proof"),
+        "node.doc_id", F.col("node.hash").alias("leaf"), "node.kept", "subroot", F.lit(root).alias("root"), F.concat(own, "path").alias("proof")
     )
 
 
@@ -162,9 +170,17 @@ def manifest_report(docs: DataFrame, fanout: int = FANOUT) -> DataFrame:
     fields = [F.col(name) for name in FIELDS]
     hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
     other = F.when(hit, leaf(*fields[:-1], F.translate("text", UPPER, LOWER)))
-    made = manifest(pick(docs, *FIELDS).select("doc_id", "lang", leaf(*fields).alias("leaf"), other.alias("kept")), fanout)
-    joined = F.aggregate("proof", F.lit(""), lambda text, step: F.concat(text, step.left, step.right))
-    folded = made.select(
-        "doc_id", "leaf", "subroot", "root", F.sha2(joined, 256).alias("proof_sha256"), fold(F.coalesce("kept", "leaf"), F.col("proof")).alias("folded_root")
+    runs, root = proved_runs(pick(docs, *FIELDS).select("doc_id", "lang", leaf(*fields).alias("leaf"), other.alias("kept")), fanout)
+    # What the leaves of a run have in common is worked out once.
+    rest = F.array_join(F.transform("path", lambda step: F.concat(step.left, step.right)), "")
+    shared = runs.select("*", rest.alias("rest"), fold(F.col("hash"), F.col("path")).alias("base"))
+    each = shared.select("*", F.posexplode("run").alias("i", "node"))
+    each = each.select("*", F.when(~F.col("alone"), _step(F.col("run"), F.col("i"))).alias("own"))
+    left, right = (F.coalesce(f"own.{side}", F.lit("")) for side in ("left", "right"))
+    copy = F.coalesce("node.kept", "node.hash")
+    parent = F.when(F.col("alone"), copy).otherwise(digest(left, copy, right))
+    folded = F.when(F.col("parent") == F.col("hash"), F.col("base")).otherwise(fold(F.col("parent"), F.col("path")))
+    return each.select("*", parent.alias("parent")).select(
+        "node.doc_id", F.col("node.hash").alias("leaf"), "subroot", F.lit(root).alias("root"),
+        digest(left, right, F.col("rest")).alias("proof_sha256"), folded.alias("folded_root"), (folded == F.lit(root)).alias("verified"),
     )
-    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
