@@ -180,10 +180,11 @@ def _nodes(turns: DataFrame, members: DataFrame, block: int, run: int) -> DataFr
         F.first("parent").alias("parent"), F.first("depth").alias("depth"), F.sum("n").alias("n"), F.min("low").alias("low"),
         F.first("chars").alias("chars"), F.max("ends").alias("ends"),
     )
+    turnless = lists.where(F.col("key") == _root()).first()
     top = members.agg(F.count("*").alias("n"), F.min("conv_id").alias("low")).where("n > 0").select(
-        _root().alias("key"), F.lit(None).cast("binary").alias("parent"), F.lit(0).cast("long").alias("depth"), "n", "low", F.lit(0).alias("chars")
+        _root().alias("key"), F.lit(None).cast("binary").alias("parent"), F.lit(0).cast("long").alias("depth"), "n", "low", F.lit(0).alias("chars"),
+        F.lit(turnless.sha if turnless else None).cast("string").alias("ends"),
     )
-    top = top.join(lists.where(F.col("key") == _root()).select("key", F.col("sha").alias("ends")), "key", "left")
     every = straight.unionByName(refined).unionByName(top)
     return materialize(every.withColumn("id", F.monotonically_increasing_id()), "trie-nodes")
 

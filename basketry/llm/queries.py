@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import embedding_dedup, language, licenses, line_dedup, lm, merkle, mixing, ngram_join, piece_codec, prefix_trie, topk, toxicity
+from basketry.llm import embedding_dedup, language, licenses, line_dedup, lm, merkle, mixing, ngram_join, pii, piece_codec, prefix_trie, topk, toxicity
 from basketry.llm._ship import ship
 
 
@@ -56,6 +56,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest_report(table(spark, sf_dir, "documents"))
 
@@ -65,5 +69,5 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_lm_score, op4_piece_codec, op5_source_mix, op6_exact_top_k, op7_embedding_near_dedup, op8_language_id, op9_line_dedup, op10_ngram_jaccard_join, op12_merkle_manifest, op13_prefix_trie)
+    f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_lm_score, op4_piece_codec, op5_source_mix, op6_exact_top_k, op7_embedding_near_dedup, op8_language_id, op9_line_dedup, op10_ngram_jaccard_join, op11_pii_bootstrap, op12_merkle_manifest, op13_prefix_trie)
 }
