@@ -31,3 +31,24 @@ def placed(rows: DataFrame, order: list[Column | str], name: str) -> DataFrame:
     schema = T.StructType([T.StructField("part__", T.IntegerType()), T.StructField("before__", T.LongType())])
     starts = rows.sparkSession.createDataFrame(before, schema)
     return found.join(starts, "part__").select(*rows.columns, (F.col("before__") + F.col("nth__")).alias("place"))
+
+
+def plain(docs: DataFrame, need: tuple[str, ...], own: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
+    """``docs`` with columns of plain names, and their given names.
+
+    Columns in ``need`` are found by exact name and keep it; the others have names that meet no other.
+    Columns named like one of ``own``, which the caller is going to add, are left out.
+    """
+    taken = {name.lower() for name in own}
+    at = [i for i, name in enumerate(docs.columns) if name.lower() not in taken]
+    first = {name: docs.columns.index(name) for name in need}
+    inner = [next((n for n, k in first.items() if k == i), f"c{i}") for i in at]
+    every = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return every.select(*(F.col(f"c{i}").alias(n) for i, n in zip(at, inner))), [docs.columns[i] for i in at]
+
+
+def appended(docs: DataFrame, run, extra: str, *need: str) -> DataFrame:
+    """``docs`` with the columns that ``run`` (see mapInArrow) adds, ``extra`` in DDL; any of the same name are replaced."""
+    added = T.StructType.fromDDL(extra)
+    inner, names = plain(docs, need, tuple(added.names))
+    return inner.mapInArrow(run, T.StructType(inner.schema.fields + added.fields)).toDF(*names, *added.names)

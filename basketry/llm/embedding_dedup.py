@@ -98,18 +98,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
 
     Equal vectors of a label are first folded to one with a count. A label's vectors are dealt by
     hash to blocks of about ``block``, and every two blocks meet in a tile of their own. A tile
-    returns one row per vector, its links counted and its ties as a tree, never its pairs.
+    returns one row per vector, its links counted and its ties as a tree, never its pairs. Rows are
+    nodes by a number of their own: rows with one id are separate rows, whatever they hold.
     """
     source = vectors.select(F.col("vec_id").cast("long"), "label", "embedding")
     label_type = source.schema["label"].dataType.simpleString()
     rows = materialize(
         source.mapInArrow(_prepare, f"vec_id long, label {label_type}, v binary").select(
             "vec_id", "label", F.when(F.col("vec_id").isNotNull() & F.col("label").isNotNull(), F.col("v")).alias("v")
-        ).withColumn("digest", F.sha2("v", 256)),
+        ).select("*", F.sha2("v", 256).alias("digest"), F.monotonically_increasing_id().alias("node")),
         "vectors",
     )
     classes = rows.where("v is not null").groupBy("label", "digest").agg(
-        F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"), F.length(F.first("v")).alias("width")
+        F.min("node").alias("rep"), F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.first("v").alias("v"), F.length(F.first("v")).alias("width")
     )
     classes = materialize(classes, "classes")
     sizes = classes.groupBy("label", "width").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
@@ -122,11 +123,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     tied = materialize(tiles, "tiles")
     links = tied.groupBy("rep").agg(F.sum("links").alias("links"))
     components = connected_components(tied.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    joined = materialize(classes.select("rep", "low").join(components, F.col("rep") == F.col("node")).select("rep", "low", "component"), "tied")
+    lowest = joined.groupBy("component").agg(F.min("low").alias("lowest"))
     known = (
-        classes.select("label", "digest", "rep", "copies")
+        classes.select("label", "digest", "rep", "low", "copies")
         .join(links, "rep")
-        .join(components, F.col("rep") == F.col("node"), "left")
-        .select("label", "digest", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        .join(joined.select("rep", "component").join(lowest, "component").select("rep", "lowest"), "rep", "left")
+        .select("label", "digest", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.coalesce("lowest", "low").alias("component_id"))
     )
     known = materialize(known, "classes").select(F.col("label").alias("l"), F.col("digest").alias("d"), "n_links", "component_id")
     component = F.coalesce("component_id", "vec_id")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm import _pieces
+from basketry.llm._order import appended, pick
 from basketry.llm._text import LOWER, crc_bucket, hashes, runs, tokens
 from basketry.session import materialize
 
@@ -180,9 +181,10 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, rounds: int = ROUND
     languages = sorted(counts)
     if not languages:
         return [], np.zeros((p.size, 0))
-    share = held.sparkSession.createDataFrame([(x, min(1.0, per_language / n)) for x, n in counts.items()], "lang string, share double")
+    # The languages are few (a column of the model each), so that rows are drawn without a join.
+    share = F.create_map(*(F.lit(v) for x, n in counts.items() for v in (x, min(1.0, per_language / n))))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) / F.lit(float(1 << 32))
-    sample = held.join(share, "lang").where(place < F.col("share")).select("lang", "text")
+    sample = held.where(place < share[F.col("lang")]).select("lang", "text")
     counted = sample.mapInArrow(_count_parts(model), "lang string, part binary, n long")
     table = materialize(counted.groupBy("lang", "part").agg(F.sum("n").alias("n")), "parts")
     probabilities = np.where(usable, 1 / usable.sum(), 0.0)[:, None].repeat(len(languages), axis=1)
@@ -250,8 +252,7 @@ def identify(docs: DataFrame, languages: list[str], probabilities: np.ndarray, m
     are if no language was learned. The broadcast table has a number per piece and language.
     """
     table = docs.sparkSession.sparkContext.broadcast(probabilities)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_score(model, languages, table), f"{fields}, __lang string, __score double")
+    return appended(docs, _score(model, languages, table), "__lang string, __score double", "text")
 
 
 def language_report(docs: DataFrame, folds: int = 4, held: int = 2, **settings) -> DataFrame:
@@ -259,7 +260,7 @@ def language_report(docs: DataFrame, folds: int = 4, held: int = 2, **settings)
 
     Rows without an id are not learned from and not held out.
     """
-    fold = crc_bucket(F.col("doc_id"), folds)
+    docs, fold = pick(docs, "doc_id", "text", "lang"), crc_bucket(F.col("doc_id"), folds)
     languages, probabilities = train(docs.where(fold != held), **settings)
     scored = identify(docs.select("doc_id", "text"), languages, probabilities)
     return scored.select(

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketry.llm._order import appended, pick
 from basketry.llm._text import U64, char_offsets, hashes, mix, runs, tokens
 from basketry.llm.license_texts import TEMPLATES
 
@@ -184,7 +185,7 @@ def _scan(templates: dict[str, str], threshold: float, stretches: bool):
     return run
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, stretches: bool = False) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, stretches: bool = True) -> DataFrame:
     """``docs`` with ``__matches``: the licences found, where (code point offsets), and how alike they are.
 
     Compared are the whole text, its blocks (parts between empty lines) and its lines, as words of
@@ -193,19 +194,18 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     size alone rules that out are not compared, nor units with too few bigrams known to any. A null
     or empty text, and a unit of fewer than two words, matches nothing. Other columns pass.
 
-    With ``stretches``, any run of successive words of a text is compared, too, so that a licence is
-    found wherever it stands; of those that share a pair of words only the best is listed, and none
+    Any run of successive words of a text is compared, too (unless ``stretches`` is off), so that a
+    licence is found wherever it stands; of those that share a pair of words only the best is listed, and none
     that shares one with a unit that matches the same template.
 
     The templates are a fixed list that goes with the task; every text is read once, no shuffle.
     """
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_scan(templates, threshold, stretches), f"{fields}, __matches {MATCH}")
+    return appended(docs, _scan(templates, threshold, stretches), f"__matches {MATCH}", "text")
 
 
-def license_report(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, stretches: bool = False) -> DataFrame:
+def license_report(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, stretches: bool = True) -> DataFrame:
     """(doc_id, n_matches, licenses, best_license, best_dice): names joined by commas; null and 0 where none is found."""
-    found = scan(docs.select("doc_id", "text"), templates, threshold, stretches)
+    found = scan(pick(docs, "doc_id", "text"), templates, threshold, stretches)
     best = F.expr("element_at(array_sort(transform(__matches, m -> struct(-m.dice as d, m.license as l))), 1)")
     some = F.size("__matches") > 0
     return found.select(

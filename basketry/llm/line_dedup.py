@@ -11,8 +11,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from basketry.llm import _bloom
+from basketry.llm._order import pick, plain
 from basketry.session import materialize
 
 # Fixed values of the operator: white space stripped from a line, and the least code points of a key.
@@ -125,6 +127,10 @@ def _drop(least: int):
     return run
 
 
+def _with(docs: DataFrame, extra: str) -> T.StructType:
+    return T.StructType(docs.schema.fields + T.StructType.fromDDL(extra).fields)
+
+
 def dedup_lines(docs: DataFrame, least: int = LEAST, segments: int = _bloom.SEGMENTS, max_bits: int = _bloom.MAX_BITS) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``, plus ``__n_lines`` and ``__n_dropped``.
 
@@ -139,10 +145,10 @@ def dedup_lines(docs: DataFrame, least: int = LEAST, segments: int = _bloom.SEGM
     of suspected keys and the rows of documents that hold one are shuffled. Digests are counted by
     their smallest and largest id, so a key that very many documents hold is combined on the map side.
     """
+    docs, names = plain(docs, ("doc_id", "text"), ("__n_lines", "__n_dropped"))
     spark = docs.sparkSession
     twice = spark.sparkContext.broadcast(twice_filter(docs, least, segments, max_bits))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    marked = materialize(docs.mapInArrow(_suspects(twice, least), f"{fields}, __n_lines long, __digests array<binary>"), "lines")
+    marked = materialize(docs.mapInArrow(_suspects(twice, least), _with(docs, "__n_lines long, __digests array<binary>")), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"))
     suspects = marked.where("__digests is not null").select(place.alias("place"), F.explode("__digests").alias("digest"))
     # Written, so that the join below has plain shuffles on both sides and Spark can split a frequent digest.
@@ -157,15 +163,15 @@ def dedup_lines(docs: DataFrame, least: int = LEAST, segments: int = _bloom.SEGM
     )
     held = marked.where("__digests is not null")
     changed = held.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id", "__digests")
-    kept = f"{fields}, __n_lines long, __gone array<binary>, __n_dropped long"
+    kept = _with(docs, "__n_lines long, __gone array<binary>, __n_dropped long")
     changed = changed.select(*docs.columns, "__n_lines", "__gone").mapInArrow(_drop(least), kept).drop("__gone")
     same = marked.where("__digests is null").drop("__digests").withColumn("__n_dropped", F.lit(0).cast("long"))
-    return same.unionByName(changed)
+    return same.unionByName(changed).select(*docs.columns, "__n_lines", "__n_dropped").toDF(*names, "__n_lines", "__n_dropped")
 
 
 def line_report(docs: DataFrame, **settings) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_sha256) of every row of ``docs``."""
-    return dedup_lines(docs.select("doc_id", "text"), **settings).select(
+    return dedup_lines(pick(docs, "doc_id", "text"), **settings).select(
         "doc_id",
         F.col("__n_lines").alias("n_lines"),
         F.col("__n_dropped").alias("n_dropped"),

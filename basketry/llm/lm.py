@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm._elias_fano import EliasFano, encode
+from basketry.llm._order import appended, pick
 from basketry.llm._store import mapped, write
 from basketry.llm._text import U64, crc_bucket, hashes, mix, runs, tokens
 from basketry.session import shared_dir
@@ -368,7 +369,7 @@ def train(docs: DataFrame, order: int = 3, shards: int | None = None, least: int
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     model = Model(f"{shared_dir(spark)}/basketry/lm-{uuid4().hex}", np.zeros(shards + 1, np.int64))
-    texts = docs.select("text")
+    texts = pick(docs, "text")
 
     def built(order_: int, build) -> list:
         packed = texts.mapInArrow(_count(model, order_, least), PACK)
@@ -441,19 +442,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     only a few numbers per shard are broadcast. Without training texts every score is 0.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_score(held), f"{fields}, __n_tokens long, __n_known long, __base double, __score double")
+    return appended(docs, _score(held), "__n_tokens long, __n_known long, __base double, __score double", "text")
 
 
-def lm_report(docs: DataFrame, folds: int = 7, held: int = 2, order: int = 3, shards: int | None = None, least: int = 2) -> DataFrame:
+def lm_report(docs: DataFrame, folds: int = 7, held: int = 2, order: int = 3, shards: int | None = None, least: int = 1) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); learned from the rows outside the fold.
 
-    Rows without an id are not learned from and not held out. Trigrams are kept from ``least`` counts
-    on; the query asks for all of them.
+    Rows without an id are not learned from and not held out. All trigrams are kept, unless
+    ``least`` asks for those from so many counts on.
     """
-    fold = crc_bucket(F.col("doc_id"), folds)
+    docs, fold = pick(docs, "doc_id", "text"), crc_bucket(F.col("doc_id"), folds)
     model = train(docs.where(fold != held), order, shards, least)
-    return score(docs.select("doc_id", "text"), model).select(
+    return score(docs, model).select(
         "doc_id",
         F.coalesce(fold == held, F.lit(False)).alias("held_out"),
         F.col("__n_tokens").alias("n_tokens"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from basketry.llm._order import pick, placed
 from basketry.session import materialize
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -16,20 +17,48 @@ MOST = 3
 DRAW_BITS, STEP_BITS = 60, 12
 
 
-def draw(column):
-    """A document's place on the line that thresholds cut: 60 bits of the MD5 of its id."""
-    text = F.coalesce(column.cast("string"), F.lit("null"))
+def _bits(text):
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, DRAW_BITS // 4), 16, 10).cast("long")
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size in words, draw) of every document."""
-    return docs.select(
+def draw(doc_id, text):
+    """A document's place on the line that thresholds cut: 60 bits of an MD5 of its id and text."""
+    return _bits(F.concat_ws("/", F.coalesce(doc_id.cast("string"), F.lit("null")), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+
+
+def _again(docs: DataFrame) -> DataFrame:
+    """(s, d): sources and draws that several rows have, as rows of one id and text do."""
+    return docs.groupBy(F.col("source").alias("s"), F.col("draw").alias("d")).agg(F.count("*").alias("n")).where("n > 1").select("s", "d")
+
+
+def _told_apart(docs: DataFrame, again: DataFrame) -> DataFrame:
+    """``docs`` with a draw of its own for every row: equal rows are numbered, which splits a large group of them.
+
+    Which of equal rows has which number does not matter, so that reruns agree.
+    """
+    if again.isEmpty():
+        return docs
+    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("draw") == F.col("d"))
+    alone = docs.join(again, same, "left_anti")
+    rows = materialize(docs.join(again, same, "left_semi").select("*", F.monotonically_increasing_id().alias("row__")), "mix-equal")
+    rows = placed(rows, ["source", "draw", "row__"], "mix-equal")
+    firsts = rows.groupBy(F.col("source").alias("s"), F.col("draw").alias("d")).agg(F.min("place").alias("first__"))
+    number = F.col("place") - F.col("first__")
+    own = F.when(number > 0, _bits(F.concat_ws("/", F.col("draw").cast("string"), number.cast("string")))).otherwise(F.col("draw"))
+    return alone.unionByName(rows.join(firsts, same).withColumn("draw", own).select(*docs.columns))
+
+
+def sized(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, size in words, draw) of every document, and the draws that rows have in common."""
+    found = pick(docs, "doc_id", "text", "source").select(
         "doc_id",
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
-        draw(F.col("doc_id")).alias("draw"),
+        draw(F.col("doc_id"), F.col("text")).alias("draw"),
     )
+    found = materialize(found, "words")
+    again = materialize(_again(found), "mix-again")
+    return _told_apart(found, again), again
 
 
 def _ranked(sources: DataFrame) -> DataFrame:
@@ -127,12 +156,12 @@ def mix_plan(words: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = M
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies) of every row of ``docs``.
 
-    ``docs`` has doc_id, text and source; other columns are ignored. A null or empty text has size
-    0 and is taken 0 words, whatever its copies. A null source is a source of its own, the last; a
-    null id has a draw of its own. Rows with one id share its draw and are taken alike. An empty
-    table gives an empty result. The draw depends on the id alone, so reruns agree.
+    ``docs`` has doc_id, text and source, found by exact name; other columns are ignored. A null or
+    empty text has size 0 and is taken 0 words, whatever its copies. A null source is a source of its
+    own, the last. The draw depends on the id (which may be null), the text and the number among
+    equal rows, so every row has one of its own and reruns agree. An empty table gives an empty result.
     """
-    words = materialize(sized(docs), "words")
+    words = materialize(sized(docs)[0], "words")
     plan = mix_plan(words, weights, most).withColumnRenamed("source", "s")
     copies = F.col("whole") + (F.col("draw") <= F.col("cut")).cast("int")
     return words.join(plan, F.col("source").eqNullSafe(F.col("s"))).select(
@@ -141,13 +170,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """The rows of ``docs``, all columns, each as often as the mix takes it."""
-    plan = mix_plan(materialize(sized(docs), "words"), weights, most).select(
-        F.col("source").alias("__mix_source"), F.col("whole").alias("__mix_whole"), F.col("cut").alias("__mix_cut")
-    )
-    copies = F.col("__mix_whole") + (draw(F.col("doc_id")) <= F.col("__mix_cut")).cast("int")
-    return (
-        docs.join(plan, F.col("source").eqNullSafe(F.col("__mix_source")))
-        .withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(1), copies)))
-        .drop("__mix_source", "__mix_whole", "__mix_cut", "__mix_copy")
-    )
+    """The rows of ``docs``, all columns, each as often as the mix takes it; see ``mix``."""
+    words, again = sized(docs)
+    plan = mix_plan(materialize(words, "words"), weights, most).select(F.col("source").alias("s"), "whole", "cut")
+    # The columns travel in a struct, so that their names meet no others.
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    doc_id, text, source = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text", "source"))
+    rows = docs.toDF(*names).select(F.struct(*names).alias("given"), source.alias("source"), draw(doc_id, text).alias("draw"))
+    copies = F.col("whole") + (F.col("draw") <= F.col("cut")).cast("int")
+    taken = _told_apart(rows, again).join(plan, F.col("source").eqNullSafe(F.col("s"))).select("given", F.explode(F.array_repeat(F.lit(1), copies)))
+    return taken.select(*(F.col(f"given.{name}") for name in names)).toDF(*docs.columns)

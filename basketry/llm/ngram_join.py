@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from basketry.llm import _bloom
 from basketry.llm._components import connected_components, local_components
+from basketry.llm._order import pick
 from basketry.llm._text import U64, give_back, hashes, mix, runs, shingles, tokens
 from basketry.session import materialize
 
@@ -25,7 +26,7 @@ TILE_DOCS, TILE_GRAMS = 256, 1 << 20
 # Up to this many documents of a tile an n-gram is counted pair by pair, above by matrix products.
 RARE = 16
 
-SIGNED = "doc_id long, grams long, digest binary, labels array<long>"
+SIGNED = "doc_id long, text_md5 string, grams long, digest binary, labels array<long>"
 EDGE = "a long, b long, part int, tree int, label long"
 
 
@@ -116,11 +117,11 @@ def _sign(width: int, trees: int, depth: int):
             for i, j, data, at in runs(batch.column(1)):
                 grams, begin = gram_sets(data, at, width)
                 count = np.diff(begin)
-                ids = batch.column(0).slice(i, j - i)
+                ids, md5 = (batch.column(k).slice(i, j - i) for k in (0, 2))
                 labels = signatures(grams, begin, trees, depth).astype(np.int64)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, labels.size + 1, trees, dtype=np.int32)), pa.array(labels.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(count), _digests(grams, begin), flat], ["doc_id", "grams", "digest", "labels"]
+                    [ids, md5, pa.array(count), _digests(grams, begin), flat], ["doc_id", "text_md5", "grams", "digest", "labels"]
                 )
 
     return run
@@ -315,30 +316,16 @@ def _tiles(members: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
-    """(doc_id, n_links, class_id, kept) of every row of ``docs`` (doc_id, text; other columns are ignored).
-
-    Words are runs of non-space characters, A-Z lower-cased. Two rows link if the Jaccard value of
-    their sets of ``width`` successive words is at least ``threshold``; a text of fewer words, but
-    some, has one n-gram, all of it. Texts that are null, empty or blank, and rows with a null id,
-    link with nothing. n_links counts the other rows linked, copies included; class_id is the
-    smallest id reachable by links (null for a null id), kept tells if that is the row's own.
-
-    Rows with one id are separate rows. Documents with equal sets become one class with a count, so a group of copies is one row from
-    there on. Classes that share a prefix in the forest are candidates: prefixes are shortened until
-    a pair at the threshold is found with chance ``recall``. Candidates that hang together form a
-    cluster, whose members all meet in tiles of bounded size, where intersections are counted
-    exactly. A tile returns a row per document, its links counted and its ties as a tree, so no
-    list of pairs is ever made, and no pair of a tile is left out.
-    """
+def _classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
+    """(doc_id, text_md5, links, first) of every row; ``first`` is (doc_id, text_md5, node) of its class's first row, null without links."""
     spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    source = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # A row is a node of the graphs by a number of its own, so that ids may repeat.
-    signed = materialize(source.mapInArrow(_sign(width, trees, depth), SIGNED).withColumn("node", F.monotonically_increasing_id()), "signed")
+    signed = materialize(source.select("*", F.md5("text").alias("text_md5")).mapInArrow(_sign(width, trees, depth), SIGNED).withColumn("node", F.monotonically_increasing_id()), "signed")
     classes = materialize(
         signed.where("digest is not null and doc_id is not null")
         .groupBy("digest", "grams")
-        .agg(F.min("node").alias("rep"), F.min("doc_id").alias("low"), F.count("*").alias("copies"), F.first("labels").alias("labels")),
+        .agg(F.min("node").alias("rep"), F.min(F.struct("doc_id", "text_md5", "node")).alias("low"), F.count("*").alias("copies"), F.first("labels").alias("labels")),
         "classes",
     )
     clusters = connected_components(forest_edges(classes.select("rep", "labels"), prefix_depth(threshold, trees, depth, recall), depth))
@@ -346,7 +333,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
         classes.join(clusters, F.col("rep") == F.col("node")).select("rep", "low", "digest", "grams", "copies", F.col("component").alias("cluster")),
         "members",
     )
-    wanted = spark.sparkContext.broadcast(id_filter(members.select("low")))
+    wanted = spark.sparkContext.broadcast(id_filter(members.select("low.doc_id")))
     sets = source.mapInArrow(_sets(width, wanted), "digest binary, grams long, set binary").dropDuplicates(["digest", "grams"])
     tiles = _tiles(members, threshold).join(sets, ["digest", "grams"])
     checked = materialize(tiles.groupBy("cluster", "lo", "hi").applyInPandas(_verify(threshold), "rep long, root long, links long"), "checked")
@@ -360,17 +347,60 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
         .join(tied.join(lowest, "component").select("rep", "class"), "rep", "left")
         .select(
             F.col("digest").alias("d"), F.col("grams").alias("g"),
-            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("class", "low").alias("class"),
+            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("class", "low").alias("first"),
         ),
         "known",
     )
-    class_id = F.coalesce("class", "doc_id")
     lookup = F.when(F.col("doc_id").isNotNull(), F.col("digest"))
     return (
-        signed.select("doc_id", lookup.alias("digest"), "grams")
+        signed.select("doc_id", "text_md5", "node", lookup.alias("digest"), "grams")
         .join(known, (F.col("digest") == F.col("d")) & (F.col("grams") == F.col("g")), "left")
-        .select(
-            "doc_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), class_id.alias("class_id"),
-            F.coalesce(F.col("doc_id") == class_id, F.lit(False)).alias("kept"),
-        )
+        .select("doc_id", "text_md5", "node", F.coalesce("links", F.lit(0)).cast("long").alias("links"), "first")
+    )
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
+    """(doc_id, n_links, class_id, kept) of every row of ``docs`` (doc_id, text; other columns are ignored).
+
+    Words are runs of non-space characters, A-Z lower-cased. Two rows link if the Jaccard value of
+    their sets of ``width`` successive words is at least ``threshold``; a text of fewer words, but
+    some, has one n-gram, all of it. Texts that are null, empty or blank, and rows with a null id,
+    link with nothing. n_links counts the other rows linked, copies included; class_id is the
+    smallest id reachable by links (null for a null id), kept tells if that is the row's own.
+
+    Rows with one id are separate rows. Documents with equal sets become one class with a count, so a group of copies is one row from
+    there on. Classes that share a prefix in the forest are candidates: prefixes are shortened until
+    a pair at the threshold is found with chance ``recall``. Candidates that hang together form a
+    cluster, whose members all meet in tiles of bounded size, where intersections are counted
+    exactly. A tile returns a row per document, its links counted and its ties as a tree, so no
+    list of pairs is ever made, and no pair of a tile is left out.
+    """
+    class_id = F.coalesce("first.doc_id", "doc_id")
+    return _classes(docs, threshold, width, trees, depth, recall).select(
+        "doc_id", F.col("links").alias("n_links"), class_id.alias("class_id"), F.coalesce(F.col("doc_id") == class_id, F.lit(False)).alias("kept")
     )
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
+    """The rows of ``docs``, all columns, without all but one of each group of near duplicates; see ``near_duplicates``.
+
+    The row with the smallest id stays, of several with it the one whose text has the smallest MD5,
+    of equal ones any. Rows are told apart by id and text, so a row is not lost to another of its id.
+    Rows that link with nothing (see there) all stay.
+    """
+    found = _classes(docs, threshold, width, trees, depth, recall)
+    stays = F.col("first").isNull() | (F.col("first.node") == F.col("node"))
+    marked = found.groupBy(F.col("doc_id").alias("id"), F.col("text_md5").alias("md5")).agg(
+        F.count("*").alias("rows"), F.count_if(stays).alias("left")
+    ).where("left < rows and id is not null")
+    marked = materialize(marked.select("id", "md5", "left"), "duplicates")
+    # The columns travel in a struct, so that their names meet no others.
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    doc_id, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    rows = docs.toDF(*names).select(F.struct(*names).alias("given"), doc_id.cast("long").alias("doc_id"), F.md5(text).alias("text_md5"))
+    same = (F.col("doc_id") == F.col("id")) & (F.col("text_md5") == F.col("md5"))
+    kept = rows.join(marked, same, "left_anti").select("given")
+    if not (twins := marked.where("left > 0")).isEmpty():
+        one = rows.join(twins, same, "left_semi").groupBy("doc_id", "text_md5").agg(F.first("given").alias("given"))
+        kept = kept.unionAll(one.select("given"))
+    return kept.select(*(F.col(f"given.{name}") for name in names)).toDF(*docs.columns)

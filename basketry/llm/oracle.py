@@ -45,11 +45,16 @@ FROM numbered LEFT JOIN matches USING (r) GROUP BY r, doc_id
 # Sources are taken in turn of their bound per weight: a source is at its bound if the level of
 # those not yet taken is above it.
 ORACLE["op5_source_mix"] = """
-WITH words AS (
+WITH named AS (
   SELECT doc_id, source,
          coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS draw
+         coalesce(doc_id::VARCHAR, 'null') || '/' || md5(coalesce(text, '')) AS name
   FROM documents
+), first_drawn AS (
+  SELECT doc_id, source, size, ('0x' || substr(md5(name), 1, 15))::BIGINT AS draw FROM named
+), words AS (
+  SELECT doc_id, source, size, CASE WHEN n = 0 THEN draw ELSE ('0x' || substr(md5(draw || '/' || n), 1, 15))::BIGINT END AS draw
+  FROM (SELECT *, row_number() OVER (PARTITION BY source, draw) - 1 AS n FROM first_drawn)
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM words GROUP BY source
 ), weighted AS (
@@ -102,23 +107,24 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 
 ORACLE["op7_embedding_near_dedup"] = """
 WITH RECURSIVE vectors AS (
-  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
 ), usable AS (
   SELECT * FROM vectors
-  WHERE label IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(v, lambda x: x <> 0)) > 0
 ), links AS (
-  SELECT a.vec_id AS x, b.vec_id AS y FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
+  SELECT a.r AS x, b.r AS y FROM usable a JOIN usable b ON a.label = b.label AND a.r <> b.r
   WHERE list_cosine_similarity(a.v, b.v) >= 0.93
 ), reach AS (
-  SELECT vec_id AS x, vec_id AS y FROM vectors
+  SELECT r AS x, r AS y FROM vectors
   UNION
   SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
 ), smallest AS (
-  SELECT x, min(y) AS component_id FROM reach GROUP BY x
+  SELECT x, min(vec_id) AS component_id FROM reach JOIN vectors ON r = y GROUP BY x
 )
-SELECT vec_id, (SELECT count(*) FROM links WHERE links.x = vec_id)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
-FROM vectors JOIN smallest ON x = vec_id
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.x = r)::BIGINT AS n_links, component_id,
+       coalesce(vec_id = component_id, FALSE) AS kept
+FROM vectors JOIN smallest ON x = r
 """
 
 ORACLE["op9_line_dedup"] = """

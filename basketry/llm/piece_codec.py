@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from basketry.llm import _pieces
+from basketry.llm._order import appended, pick
 from basketry.llm._text import hashes, runs, tokens
 
 # Longer stretches are worked on one at a time.
@@ -195,8 +196,7 @@ def encode(docs: DataFrame, model: str = _pieces.MODEL) -> DataFrame:
                 some = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*some.columns, lists], [*some.schema.names, "__ids"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, __ids array<int>")
+    return appended(docs, run, "__ids array<int>", "text")
 
 
 def decode(docs: DataFrame, model: str = _pieces.MODEL) -> DataFrame:
@@ -209,8 +209,7 @@ def decode(docs: DataFrame, model: str = _pieces.MODEL) -> DataFrame:
             texts = decode_run(flat, np.asarray(lists.offsets), model)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "__decoded"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, __decoded string")
+    return appended(docs, run, "__decoded string", "__ids")
 
 
 def codec_report(docs: DataFrame, model: str = _pieces.MODEL) -> DataFrame:
@@ -232,5 +231,6 @@ def codec_report(docs: DataFrame, model: str = _pieces.MODEL) -> DataFrame:
                     ["doc_id", "n_tokens", "ids_hash", "round_trip"],
                 )
 
+    docs = pick(docs, "doc_id", "text")
     fields = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_hash long, round_trip boolean"
-    return docs.select("doc_id", "text").mapInArrow(run, fields)
+    return docs.mapInArrow(run, fields)

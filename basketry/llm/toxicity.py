@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketry.llm._order import appended, pick
 from basketry.llm._text import U64, WORD, Tokens, char_offsets, crc_bucket, hashes, mix, runs, shingles, tokens
 from basketry.session import materialize
 
@@ -271,8 +272,7 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
     no toxic token. All other columns pass.
     """
     held = docs.sparkSession.sparkContext.broadcast(field)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_scores(held), f"{fields}, __score double, __spans array<struct<start:int,end:int,score:double>>")
+    return appended(docs, _scores(held), "__score double, __spans array<struct<start:int,end:int,score:double>>", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Field:
@@ -284,7 +284,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
     at most TOXIC_RUNS and CLEAN_RUNS, fit the field; the documents' summaries of its marginals
     fit the score. Without a toxic document every score is low.
     """
-    spark = docs.sparkSession
+    spark, docs, labels = docs.sparkSession, pick(docs, "doc_id", "text"), pick(labels, "doc_id", "toxic")
     order = F.xxhash64("doc_id")
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     drawn = [known.where(f"toxic = {k}").orderBy(order, "doc_id").limit(n) for k, n in ((1, MOST_TOXIC), (0, MOST_CLEAN))]
@@ -352,8 +352,9 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, folds: int = 5, held: in
 
     Rows without an id are not learned from and not held out.
     """
+    docs, labels = pick(docs, "doc_id", "text"), pick(labels, "doc_id", "toxic")
     field = train(docs, labels.where(crc_bucket(F.col("doc_id"), folds) != held))
-    return score(docs.select("doc_id", "text"), field).select(
+    return score(docs, field).select(
         "doc_id",
         F.coalesce(crc_bucket(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"),
         F.col("__score").alias("score"),

@@ -101,3 +101,15 @@ def test_ids_decode_to_the_texts(stages):
         text, = piece_codec.decode_run(np.array(r.ids, np.int64), np.array([0, len(r.ids)]))
         got[r.doc_id, text] += 1
     assert got == texts
+
+
+def test_rows_of_one_id(spark):
+    rng = random.Random(3)
+    near = sentence(rng, 90, 5000)
+    other = sentence(rng, 90, 5000)
+    rows = [(1, near), (5, near + " x"), (5, other), (9, other), (9, other), (9, other + " y"), (None, near), (None, near), (7, ""), (7, ""), (8, sentence(rng, 50, 5000))]
+    rows += [(20, sentence(random.Random(4), 60, 5000))] * 3
+    docs = spark.createDataFrame([(i, x, "en", f"s{k}", len(x)) for k, (i, x) in enumerate(rows)], SCHEMA)
+    got = sorted(((r.doc_id or 0, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()))
+    want = [(1, near), (5, other), (0, near), (0, near), (7, ""), (7, ""), (8, rows[10][1]), (20, rows[-1][1])]
+    assert got == sorted(want)

@@ -64,7 +64,7 @@ def test_licenses(spark):
         (22, sentence(rng, 30) + "\nreleased under THE mit license\nmore"), (23, notice + " " + sentence(rng, 40)), (None, notice), (20, mit),
     ]
     docs = documents(spark, rows)
-    found = licenses.scan(docs)
+    found = licenses.scan(docs, stretches=False)
     assert found.columns == [*docs.columns, "__matches"]
     by = {r.doc_id: r for r in found.collect()}
     assert {(m.license, m.unit) for m in by[20]["__matches"]} == {("MIT", "text"), ("MIT", "block")}
@@ -74,7 +74,7 @@ def test_licenses(spark):
     assert (line.license, line.dice) == ("MIT-notice", 1.0)
     assert by[23]["__matches"] == [] and len(by[None]["__matches"]) == 3
     frame = pd.DataFrame({"doc_id": pd.array([r[0] for r in rows], "Int64"), "text": [r[1] for r in rows]})
-    got = licenses.license_report(docs).toPandas()
+    got = licenses.license_report(docs, stretches=False).toPandas()
     want = duck(frame, "op1_license_scan")
     key = lambda d: sorted(map(repr, d[["n_matches", "licenses", "best_license", "best_dice"]].astype(object).where(d.notna(), None).itertuples(index=False)))
     assert key(got) == key(want)
@@ -118,7 +118,7 @@ def test_licenses_anywhere_in_a_text(spark, tmp_path):
         (5, code + mit + zlib_ + mit + code), (6, " ".join(words[:60]) + code), (7, mit[:400]), (8, mit[400:]), (9, mit), (10, None),
     ]
     docs = documents(spark, rows)
-    by = {r.doc_id: r["__matches"] for r in licenses.scan(docs, stretches=True).collect()}
+    by = {r.doc_id: r["__matches"] for r in licenses.scan(docs).collect()}
     for i in (1, 2, 3, 4):
         m, = by[i]
         assert (m.license, m.unit) == ("MIT", "stretch") and m.dice > 0.97
@@ -223,7 +223,7 @@ def test_language_model(spark):
     rows = [(i, sentence(rng, rng.randint(1, 60), 40)) for i in range(60)]
     rows += [(100 + i, "the very same words again and again here") for i in range(20)] + [(200 + i, x) for i, x in enumerate(ODD)]
     rows += [(3, rows[3][1]), (None, "the very same"), (300, "nobody said this")]
-    got = lm.lm_report(documents(spark, rows), shards=7).collect()
+    got = lm.lm_report(documents(spark, rows), shards=7, least=2).collect()
     assert len(got) == len(rows)
     seen = {1: collections.Counter(), 2: collections.Counter(), 3: collections.Counter()}
     for i, text in rows:
@@ -369,6 +369,23 @@ def test_mixing(spark, sources):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("ids", [lambda i: None, lambda i: 7 if i < 200 else i, lambda i: 7])
+def test_mixing_rows_without_ids_of_their_own(spark, ids):
+    rows = [(ids(i), f"five words of text {i % 150 if i % 2 else 0}", "en", "a") for i in range(300)] + [(1000 + i, "one two three four five", "en", "b") for i in range(100)]
+    docs = documents(spark, rows).selectExpr("*", "1 as SOURCE", "2 as __mix_copy", "3 as `a.b``c`", "4 as draw", "5 as s")
+    got = mixing.mix(docs).toPandas()
+    taken = got[got.source_size == 1500].taken.sum()
+    target = got[got.source_size == 1500].target.iloc[0]
+    assert abs(taken - target) <= 5
+    again = mixing.mix(docs.repartition(7)).toPandas()
+    key = lambda d: sorted(map(repr, d.astype(object).where(d.notna(), None).itertuples(index=False)))
+    assert key(got) == key(again)
+    whole = mixing.mixed(docs)
+    assert whole.columns == docs.columns and whole.count() == got.copies.sum()
+    frame = pd.DataFrame({"doc_id": pd.array([r[0] for r in rows], "Int64"), "text": [r[1] for r in rows], "source": [r[3] for r in rows]})
+    assert sorted(duck(frame, "op5_source_mix").taken) == sorted(got.taken)
+
+
 # ---- languages
 
 

@@ -54,7 +54,7 @@ def test_search_stops_only_on_proof():
 
     values = rng.integers(-256, 256, (700, 12)).astype(np.int32)
     values[100:160] = values[0]
-    group = pd.DataFrame({"block": 0, "vec_id": rng.permutation(700), "row": np.arange(700), "v": [x.tobytes() for x in values]})
+    group = pd.DataFrame({"wide": False, "block": 0, "vec_id": rng.permutation(700), "row": np.arange(700), "v": [x.tobytes() for x in values]})
     index = topk.Index(topk.build_index(group).iloc[0])
     for own in range(0, 700, 35):
         at, score = index.search(values[own], own, 5, steps=16, few=20)
@@ -101,3 +101,25 @@ def test_error_bounds_hold():
     found = {(int(a), int(b)) for p, r in embedding_dedup.linked_pairs(x, x, 0.93, True) for a, b in zip(p, r)}
     exact = unit @ unit.T
     assert found == {(a, b) for a in range(200) for b in range(a + 1, 200) if exact[a, b] >= 0.93}
+
+
+def test_top_k_of_large_components(spark):
+    big = [600000.0, 700000.0, 524288.0, -3.0e7, 1.0e10, 1.0e30, -1.0e38, 3.0e38, 0.125]
+    rows = [(50 * (i // 2) + 7 * (i % 2), [x, 1.0, y], 0) for i, (x, y) in enumerate(itertools.product(big, big))]
+    got = topk.top_k(table(spark, rows), F.col("vec_id") % 50 == 0, 5, 16, 7).collect()
+    held = [(i, [math.floor(256 * float(np.float32(v))) for v in x]) for i, x, _ in rows]
+    want = []
+    for k, (i, x) in enumerate(held):
+        if i % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(x, y)), j) for m, (j, y) in enumerate(held) if m != k)[:5]
+            want += [(i, n + 1, j, min(max(-s, -(2**63)), 2**63 - 1)) for n, (s, j) in enumerate(scored)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_near_duplicates_with_one_id(spark):
+    x, y = [1.0] + [0.0] * 7, [0.0, 1.0] + [0.0] * 6
+    near = lambda v: [c + 0.01 for c in v]
+    rows = [(1, x, 0), (1, y, 1), (2, near(x), 0), (3, near(y), 1), (7, x, 2), (7, y, 2), (8, near(x), 2), (6, near(y), 2), (7, x, 2)]
+    got = [tuple(r) for r in embedding_dedup.near_duplicates(table(spark, rows)).collect()]
+    want = [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (7, 2, 7, True), (7, 1, 6, False), (8, 2, 7, False), (6, 1, 6, True), (7, 2, 7, True)]
+    assert sorted(got) == sorted(want)
