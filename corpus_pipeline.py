@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.llm import line_dedup, mixing, ngram_join, piece_codec, toxicity
+from basketry.llm._order import pick, plain
 from basketry.llm._ship import ship
 from basketry.llm._text import crc_bucket
 from basketry.session import materialize
@@ -28,23 +29,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ready(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     field = toxicity.train(docs, labels.where(crc_bucket(F.col("doc_id"), 5) != 0))
-    return toxicity.score(docs, field).where("__score < 0.5").select(docs.columns)
+    return toxicity.score(docs, field).where("__score < 0.5").drop("__score", "__spans")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take repeated lines out of the texts; every document stays, ``n_chars`` follows its text."""
     ready(spark)
+    docs, names = plain(docs, ("doc_id", "text", "n_chars"), ("__n_lines", "__n_dropped"))
     kept = line_dedup.dedup_lines(docs)
     changed = F.when(F.col("__n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return kept.withColumn("n_chars", changed).select(docs.columns)
+    return kept.withColumn("n_chars", changed).select(docs.columns).toDF(*names)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id; documents without an id stay."""
+    """Of each group of near-duplicates one row, of the smallest id; rows without an id stay."""
     ready(spark)
-    classes = ngram_join.near_duplicates(docs)
-    gone = materialize(classes.where("doc_id <> class_id").select("doc_id").distinct(), "duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return ngram_join.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, n_tokens, ids): every document as piece ids."""
     ready(spark)
-    encoded = piece_codec.encode(docs.select("doc_id", "source", "text"))
+    encoded = piece_codec.encode(pick(docs, "doc_id", "source", "text"))
     return encoded.select("doc_id", "source", F.size("__ids").cast("long").alias("n_tokens"), F.col("__ids").alias("ids"))
 
 
