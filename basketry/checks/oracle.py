@@ -437,6 +437,17 @@ ORACLE: dict[str, str] = {
           count(*) FILTER (WHERE event_type = 'purchase') AS total_purchases
         FROM ev GROUP BY 1, 2""",
     ),
+    "looked_up_counts": sql(
+        [EV],
+        """SELECT tenant_id, customer_id,
+          count(*) FILTER (WHERE event_type IN ('page_view', 'product_view')) AS total_views,
+          count(*) FILTER (WHERE event_type = 'add_to_cart') AS total_cart_adds,
+          count(*) FILTER (WHERE event_type = 'purchase') AS total_purchases
+        FROM ev
+        WHERE (tenant_id = 't1' OR ts < TIMESTAMP '2024-01-21') AND (tenant_id, customer_id) IN (
+          SELECT (tenant_id, customer_id) FROM ev WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-29')
+        GROUP BY 1, 2""",
+    ),
     "incremental_feature_rows": sql(
         [EV, PR, ENR, HELD,
          "hit AS (SELECT DISTINCT tenant_id, customer_id FROM fresh)",

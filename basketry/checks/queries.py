@@ -31,7 +31,7 @@ from basketry.plans.ingest import ingest_to_lake
 from basketry.plans.refresh_cooccurrence import refresh_cooccurrence
 from basketry.schemas import COOCCURRENCE, CUSTOMER, DECISIONS, FEATURE_JOB, MODEL_VERSION
 from basketry.session import configure, materialize, shared_dir
-from basketry.sources import lake, tables
+from basketry.sources import cells, lake, tables
 from basketry.sources import testbed as tb
 from basketry.streaming import jobs as stream
 
@@ -297,6 +297,23 @@ def upserted_counts(spark, sf_dir):
     return tables.current(spark, root, layout)
 
 
+@query
+def looked_up_counts(spark, sf_dir):
+    """Stored counts of the customers that bought on the last day, from the cells that hold them."""
+    events = tb.events(spark, sf_dir)
+    layout = (
+        "tenant_id STRING, customer_id STRING, total_views BIGINT, total_cart_adds BIGINT,"
+        " total_purchases BIGINT"
+    )
+    root, by = new_folder(spark, "counts"), ["tenant_id"]
+    cells.upsert(feat.activity_counts(events.filter("timestamp < timestamp '2024-01-21'")), root, CUSTOMER, layout, by)
+    changed = events.filter("tenant_id = 't1' AND timestamp >= timestamp '2024-01-21'").select(*CUSTOMER).distinct()
+    updates = feat.activity_counts(events).join(changed, CUSTOMER, "left_semi")
+    cells.upsert(updates, root, CUSTOMER, layout, by)
+    wanted = events.filter("event_type = 'purchase' AND timestamp >= timestamp '2024-01-29'")
+    return cells.lookup(wanted, root, CUSTOMER, layout, by)
+
+
 def _increment(spark, sf_dir):
     events, products = tb.events(spark, sf_dir), tb.products(spark, sf_dir)
     held = materialize(checkpoints(spark, sf_dir), "checkpoints")

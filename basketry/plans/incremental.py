@@ -93,7 +93,8 @@ def run_incremental(
 ) -> DataFrame:
     """One run on stored tables: features first, then checkpoints; returns the report.
 
-    A crash between the two writes only makes the next run recompute the same customers.
+    Only the cells of the feature table that hold an affected customer are rewritten. A crash
+    between the two writes only makes the next run recompute the same customers.
     """
     result = incremental_features(
         events,
@@ -107,6 +108,6 @@ def run_incremental(
     report = materialize(result.report, "report")
     if report.filter(F.col("processed_events") > 0).isEmpty():
         return report
-    tables.publish(result.features, features_root)
+    tables.upsert_table(result.updates, features_root, CUSTOMER, CUSTOMER_FEATURES, ["tenant_id"])
     tables.publish(result.checkpoints, checkpoints_root)
     return report

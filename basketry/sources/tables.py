@@ -1,31 +1,14 @@
-"""Keyed tables on plain Parquet: versioned publishing, upsert and tenant replacement."""
+"""Keyed tables on plain Parquet: versioned publishing, upsert and tenant replacement (by ``cells``)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.operators.merge import upsert_by_key
 from basketry.session import materialize
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    return hpath, hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _versions(spark: SparkSession, root: str, complete: bool = True) -> list[int]:
-    hroot, fs = _fs(spark, root)
-    if not fs.exists(hroot):
-        return []
-    found = []
-    for status in fs.listStatus(hroot):
-        name = status.getPath().getName()
-        if name.startswith("v="):
-            if not complete or fs.exists(_fs(spark, f"{root}/{name}/_SUCCESS")[0]):
-                found.append(int(name[2:]))
-    return sorted(found)
+from basketry.sources import cells
+from basketry.sources.versions import exists, fs_of, next_version
+from basketry.sources.versions import versions as _versions
 
 
 def publish(
@@ -41,7 +24,7 @@ def publish(
     orders the rows of each file, which narrows what a lookup has to read.
     """
     spark = df.sparkSession
-    version = max(_versions(spark, root, complete=False), default=0) + 1
+    version = next_version(spark, root)
     if partition_by:
         df = df.hint("rebalance", *partition_by)
     if sort_by:
@@ -58,6 +41,8 @@ def current(spark: SparkSession, root: str, schema: str) -> DataFrame:
     versions = _versions(spark, root)
     if not versions:
         return spark.createDataFrame([], schema)
+    if cells.is_cells(spark, root, versions[-1]):
+        return cells.read(spark, root, schema)
     return spark.read.schema(schema).parquet(f"{root}/v={versions[-1]}")
 
 
@@ -65,17 +50,24 @@ def prune_versions(spark: SparkSession, root: str, keep: int = 2) -> list[int]:
     """Remove all but the newest ``keep`` complete versions; returns those removed."""
     if keep < 1:
         raise ValueError("the current version must be kept")
-    old = _versions(spark, root)[:-keep]
+    complete = _versions(spark, root)
+    old = complete[:-keep]
+    cells.prune_files(spark, root, old, complete[-keep:])
     for version in old:
-        folder, fs = _fs(spark, f"{root}/v={version}")
+        folder, fs = fs_of(spark, f"{root}/v={version}")
         fs.delete(folder, True)
     return old
 
 
-def upsert_table(updates: DataFrame, root: str, keys: list[str], schema: str) -> int:
-    """Insert or replace rows by key and publish the result."""
-    target = current(updates.sparkSession, root, schema)
-    return publish(upsert_by_key(target, updates, keys), root)
+def upsert_table(
+    updates: DataFrame,
+    root: str,
+    keys: list[str],
+    schema: str,
+    partition_by: list[str] | None = None,
+) -> int:
+    """Insert or replace rows by key and publish the result; only cells with such keys are rewritten."""
+    return cells.upsert(updates, root, keys, schema, partition_by or ())
 
 
 def merge_table(updates: DataFrame, table: str, keys: list[str]) -> None:
@@ -102,8 +94,7 @@ def append_new(
     """
     spark = rows.sparkSession
     rows = materialize(rows.dropDuplicates(keys), "appended")
-    folder, fs = _fs(spark, path)
-    if fs.exists(folder):
+    if exists(spark, path):
         stored = spark.read.schema(rows.schema).parquet(path).select(*keys)
         if partition_by:
             touched = rows.select(*partition_by).distinct()
@@ -124,20 +115,9 @@ def replace_tenants(
 ) -> DataFrame:
     """Replace all rows of the refreshed tenants; returns the tenants left without any.
 
-    The other tenants' rows are carried over, and everything is published as one version, so
+    The files of other tenants stay as they are, and everything is published as one version, so
     readers see the old table or the new one. Rows of tenants that are not refreshed are left
     out. The tenants left without rows are those that had some before.
     """
-    spark = rows.sparkSession
-    tenants = materialize(refreshed.select("tenant_id").distinct(), "tenants")
-    rows = materialize(rows.join(tenants, "tenant_id", "left_semi"), "replacement")
-    old = current(spark, root, schema)
-    carried = old.join(tenants, "tenant_id", "left_anti")
-    emptied = materialize(
-        old.select("tenant_id").distinct()
-        .join(tenants, "tenant_id", "left_semi")
-        .join(rows.select("tenant_id").distinct(), "tenant_id", "left_anti"),
-        "emptied",
-    )
-    publish(carried.unionByName(rows.select(carried.columns)), root, ["tenant_id"], sort_by)
-    return emptied
+    keys = ["tenant_id", *(sort_by or [])[:1]]
+    return cells.replace(rows, root, refreshed, keys, schema, ["tenant_id"], sort_by=sort_by or ())
