@@ -651,3 +651,7 @@ FROM placed GROUP BY 1, 2""",
         FROM win""",
     ),
 }
+
+# Other ways to the same rows.
+ORACLE["merged_feature_rows"] = ORACLE["incremental_feature_rows"]
+ORACLE["state_features"] = ORACLE["customer_feature_rows"]

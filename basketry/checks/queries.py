@@ -18,6 +18,7 @@ from basketry.operators import ingest, quality, reports, sessions
 from basketry.operators import requests as req
 from basketry.operators.enrich import enrich_events
 from basketry.operators.tenancy import tenant_scope
+from basketry.plans import feature_state as state
 from basketry.plans.customer_features import customer_features
 from basketry.plans.incremental import incremental_features
 from basketry.plans.recommend import (
@@ -29,7 +30,7 @@ from basketry.plans.recommend import (
 )
 from basketry.plans.ingest import ingest_to_lake
 from basketry.plans.refresh_cooccurrence import refresh_cooccurrence
-from basketry.schemas import COOCCURRENCE, CUSTOMER, DECISIONS, FEATURE_JOB, MODEL_VERSION
+from basketry.schemas import COOCCURRENCE, CUSTOMER, CUSTOMER_FEATURES, DECISIONS, FEATURE_JOB, MODEL_VERSION
 from basketry.session import configure, materialize, shared_dir
 from basketry.sources import cells, lake, tables
 from basketry.sources import testbed as tb
@@ -334,6 +335,39 @@ def incremental_report(spark, sf_dir):
     return _increment(spark, sf_dir).report
 
 
+def stored_state(spark, sf_dir):
+    """State and features of the events up to the checkpoints; (new events, products, both roots)."""
+    events, products = tb.events(spark, sf_dir), tb.products(spark, sf_dir)
+    held = materialize(inc.read_checkpoints(checkpoints(spark, sf_dir)), "checkpoints")
+    roots = new_folder(spark, "state"), new_folder(spark, "features")
+    old = events.join(held, "tenant_id").filter(F.col("timestamp") <= F.col("last_event_ts")).drop("last_event_ts")
+    state.add_events(old, products, *roots, "2024-01-21", "history")
+    return inc.new_events(events, held).drop("last_event_ts"), products, roots
+
+
+@query
+def merged_feature_rows(spark, sf_dir):
+    """The rows of ``incremental_feature_rows``, from stored state to which only new events are added."""
+    new, products, roots = stored_state(spark, sf_dir)
+    state.add_events(new, products, *roots, AS_OF, "new")
+    stored = tables.current(spark, roots[1], CUSTOMER_FEATURES)
+    late = stored.select(*CUSTOMER).join(new.select(*CUSTOMER).distinct(), CUSTOMER, "left_semi")
+    kept = stored.join(late, CUSTOMER, "left_anti").withColumn("updated_at", F.lit("2024-01-21").cast("timestamp"))
+    return flat_features(kept.unionByName(stored.join(late, CUSTOMER, "left_semi")))
+
+
+@query
+def state_features(spark, sf_dir):
+    """All features from a state that got its events in three batches out of order, one of them twice, and was compacted."""
+    events, products = tb.events(spark, sf_dir), tb.products(spark, sf_dir)
+    roots = new_folder(spark, "state"), new_folder(spark, "features")
+    for part in (2, 0, 1, 0):
+        batch = events.filter(F.crc32(F.col("id").cast("binary")) % 3 == part)
+        state.add_events(batch, products, *roots, AS_OF, f"part {part}")
+    state.compact_state(spark, roots[0], most=2)
+    return flat_features(state.features_of(cells.read(spark, roots[0], state.STATE), products, AS_OF))
+
+
 # ---- co-occurrence
 
 

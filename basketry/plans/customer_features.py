@@ -13,19 +13,10 @@ from basketry.operators import sessions as s
 from basketry.schemas import CUSTOMER
 
 
-def customer_features(
-    events: DataFrame,
-    products: DataFrame,
-    as_of: str | datetime,
-    customers: DataFrame | None = None,
-    on_bad: str = "fail",
-) -> DataFrame:
-    """Counts, recency, affinity, purchase, revenue and session measures per customer.
+def folded_slots(events: DataFrame, on_bad: str = "fail") -> DataFrame:
+    """One row per customer and session slot with all that the features need of its events.
 
-    Two branches read the events once each. The first folds them to customer time slots,
-    the second to customer products; everything after works on those rows. ``customers``
-    restricts the result to the given keys. It is applied to the folded rows, so raw
-    events are never shuffled for it.
+    Rows of one slot from several sets of events merge by their sums, minima and maxima.
     """
     us = F.unix_micros("timestamp")
     bought = is_type("purchase")
@@ -36,7 +27,7 @@ def customer_features(
         *CUSTOMER, "event_type", "product_id", "timestamp",
         parsed_revenue(F.col("properties"), on_bad).alias("amount"),
     )
-    slots = s.slot_rows(
+    return s.slot_rows(
         priced,
         s.GAP,
         *f.count_measures(),
@@ -46,12 +37,34 @@ def customer_features(
         F.sum(F.when(sold > 0, sold)).alias("paid_total"),
         F.count_if(sold > 0).alias("paid_n"),
     )
-    touches = f.product_touches(events, as_of)
+
+
+def customer_features(
+    events: DataFrame,
+    products: DataFrame,
+    as_of: str | datetime,
+    customers: DataFrame | None = None,
+    on_bad: str = "fail",
+) -> DataFrame:
+    """Counts, recency, affinity, purchase, revenue and session measures per customer.
+
+    Two branches read the events once each. The first folds them to customer time slots,
+    the second to customer products; everything after works on those rows. ``customers``
+    restricts the result to the given keys. It is applied to the folded rows, so raw
+    events are never shuffled for it.
+    """
+    slots, touches = folded_slots(events, on_bad), f.product_touches(events, as_of)
     if customers is not None:
         keys = customers.select(*CUSTOMER).distinct()
         slots = slots.join(keys, CUSTOMER, "left_semi")
         touches = touches.join(keys, CUSTOMER, "left_semi")
+    return finished_features(slots, touches, products, as_of)
+
 
+def finished_features(
+    slots: DataFrame, touches: DataFrame, products: DataFrame, as_of: str | datetime
+) -> DataFrame:
+    """The feature rows, from one row per customer and slot and one per customer and product."""
     measures = [
         F.sum(name).alias(name)
         for name in ("total_views", "total_cart_adds", "total_purchases", "revenue",

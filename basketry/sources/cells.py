@@ -12,7 +12,7 @@ the next, and a crash before the manifest is complete leaves the old one.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,7 +52,7 @@ def _typed(rows: DataFrame, schema: str) -> DataFrame:
 
 def _read(spark: SparkSession, root: str, files: DataFrame, schema: str) -> DataFrame:
     """The rows of the files in a manifest. The driver has their names, as for every scan."""
-    paths = [f"{root}/{r.path}" for r in files.select("path").collect()]
+    paths = [f"{root}/{r.path}" for r in files.where("path is not null").select("path").collect()]
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
@@ -68,7 +68,7 @@ def _write(dealt: DataFrame, root: str, schema: str, partition_by: Sequence[str]
     )
     return held.select(*partition_by, *CELL, name.alias("path")).groupBy(*CELL, "path").agg(
         *(F.first(c).alias(c) for c in partition_by), F.count("*").alias("rows")
-    ).select(*partition_by, *CELL, "path", "rows", F.lit(cells).alias("cells"))
+    ).select(*partition_by, *CELL, "path", "rows", F.lit(cells).alias("cells"), F.lit(None).cast("string").alias("note"))
 
 
 def _publish(manifest: DataFrame, root: str) -> int:
@@ -167,6 +167,60 @@ def replace(
     return had.join(written, "__part", "left_anti").select(*by).distinct()
 
 
+def append(
+    rows: DataFrame,
+    root: str,
+    keys: Sequence[str],
+    schema: str,
+    partition_by: Sequence[str] = (),
+    cells: int = CELLS,
+    note: str | None = None,
+    options: dict[str, str] | None = None,
+) -> int | None:
+    """Add rows to the cells of their keys, in new files; all files there are stay.
+
+    A ``note`` names what is added and is published with it: a second append with a note that the
+    table has does nothing and returns None, so that a batch replayed after a crash counts once.
+    """
+    spark = rows.sparkSession
+    manifest, plain, cells = _stored(spark, root, schema, partition_by, cells)
+    if manifest is not None and note is not None and not manifest.where(F.col("note") == note).isEmpty():
+        return None
+    new = _typed(rows, schema)
+    if plain is not None:
+        new = plain.unionByName(new)
+    written = _write(_dealt(new, keys, partition_by, cells), root, schema, partition_by, cells, (), options or {})
+    if manifest is not None:
+        written = manifest.unionByName(written)
+    if note is not None:
+        written = written.unionByName(spark.createDataFrame([(cells, note)], "cells INT, note STRING"), allowMissingColumns=True)
+    return _publish(written, root)
+
+
+def compact(
+    spark: SparkSession,
+    root: str,
+    keys: Sequence[str],
+    schema: str,
+    merge: Callable[[DataFrame], DataFrame],
+    partition_by: Sequence[str] = (),
+    most: int = 4,
+    options: dict[str, str] | None = None,
+) -> int | None:
+    """Rewrite the cells that have more than ``most`` files, their rows put together by ``merge``; None if there are none.
+
+    ``merge`` must keep the keys of a row, so that it stays in its cell.
+    """
+    manifest = entries(spark, root)
+    full = materialize(manifest.where("path is not null").groupBy(*CELL).count().where(F.col("count") > most).select(*CELL), "full-cells")
+    if full.isEmpty():
+        return None
+    cells = manifest.select("cells").first().cells
+    held = merge(_read(spark, root, manifest.join(full, CELL, "left_semi"), schema))
+    written = _write(_dealt(_typed(held, schema), keys, partition_by, cells), root, schema, partition_by, cells, (), options or {})
+    return _publish(manifest.join(full, CELL, "left_anti").unionByName(written), root)
+
+
 def lookup(
     wanted: DataFrame, root: str, keys: Sequence[str], schema: str, partition_by: Sequence[str] = (), version: int | None = None
 ) -> DataFrame:
@@ -187,7 +241,7 @@ def lookup(
 
 def prune_files(spark: SparkSession, root: str, removed: list[int], kept: list[int]) -> int:
     """Delete the files that only ``removed`` versions name; returns how many. Call it before their manifests go."""
-    old = [entries(spark, root, v).select("path") for v in removed if is_cells(spark, root, v)]
+    old = [entries(spark, root, v).where("path is not null").select("path") for v in removed if is_cells(spark, root, v)]
     live = [entries(spark, root, v).select("path") for v in kept if is_cells(spark, root, v)]
     if not old:
         return 0
