@@ -655,3 +655,4 @@ FROM placed GROUP BY 1, 2""",
 # Other ways to the same rows.
 ORACLE["merged_feature_rows"] = ORACLE["incremental_feature_rows"]
 ORACLE["state_features"] = ORACLE["customer_feature_rows"]
+ORACLE["stream_rolling_5m"] = ORACLE["rolling_5m_features"]
