@@ -656,3 +656,4 @@ FROM placed GROUP BY 1, 2""",
 ORACLE["merged_feature_rows"] = ORACLE["incremental_feature_rows"]
 ORACLE["state_features"] = ORACLE["customer_feature_rows"]
 ORACLE["stream_rolling_5m"] = ORACLE["rolling_5m_features"]
+ORACLE["stream_log_ingest"] = ORACLE["stream_ingested_events"]

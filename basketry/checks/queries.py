@@ -35,7 +35,8 @@ from basketry.session import configure, materialize, shared_dir
 from basketry.sources import cells, lake, tables
 from basketry.sources import testbed as tb
 from basketry.streaming import jobs as stream
-from basketry.streaming import rolling
+from basketry.streaming import event_log, rolling
+from basketry.streaming.sources import decode_messages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -798,6 +799,20 @@ def stream_5m_features(spark, sf_dir):
     return _upserted(spark, rows, "stream-5m", [*CUSTOMER, "window_start"])
 
 
+@query
+def stream_log_ingest(spark, sf_dir):
+    """Events written to the log in two halves, each read in bounded batches by a stream that is then restarted."""
+    log, out = new_folder(spark, "log"), new_folder(spark, "log-lake")
+    for half in (0, 1):
+        events = tb.events(spark, sf_dir).filter(F.crc32(F.col("id").cast("binary")) % 2 == half)
+        event_log.append(event_log.event_records(events), log)
+        records = event_log.log_records(spark, log, f"{out}-progress/at.json", most=max(500, events.count() // 20))
+        query = stream.start_ingest(decode_messages(records), out, f"{out}-checkpoint", interval="0 seconds")
+        query.processAllAvailable()
+        query.stop()
+    return lake.read_events(spark, out).select(*EVENT_COLUMNS)
+
+
 @query
 def stream_rolling_5m(spark, sf_dir):
     """Per-event counts from keyed state; those of slots still open at the end by the batch pass."""
