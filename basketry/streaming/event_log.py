@@ -31,6 +31,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 RECORD = "partition INT, offset LONG, key STRING, value STRING, timestamp TIMESTAMP"
 FORMAT = "event_log"
+# JSON times keep their microseconds.
+MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -211,4 +213,4 @@ def log_records(spark: SparkSession, root: str, progress: str, most: int = 10_00
 def event_records(events: DataFrame) -> DataFrame:
     """Events as log records: JSON values, keyed by tenant and customer."""
     key = F.concat_ws("/", F.col("tenant_id"), F.col("customer_id"))
-    return events.select(key.alias("key"), F.to_json(F.struct(*events.columns)).alias("value"), "timestamp")
+    return events.select(key.alias("key"), F.to_json(F.struct(*events.columns), {"timestampFormat": MICROS}).alias("value"), "timestamp")

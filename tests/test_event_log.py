@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from basketry.sources import lake
 from basketry.streaming import event_log, jobs, sources
-from tests.builders import MINUTE, NOW, events, rows
+from tests.builders import MICRO, MINUTE, NOW, events, rows
 
 
 def some(spark, start, n):
-    return events(spark, [("A", f"c{i % 5}", "click", "p", NOW + i * MINUTE) for i in range(start, start + n)]).withColumn(
+    return events(spark, [("A", f"c{i % 5}", "click", "p", NOW + i * MINUTE + i * MICRO) for i in range(start, start + n)]).withColumn(
         "id", F.concat(F.lit(f"{start}-"), "id"))
 
 
@@ -55,6 +55,7 @@ def test_bounded_batches_restart_and_new_records(spark, log, tmp_path):
     assert ingest(spark, log, out, mark) == []
     event_log.append(event_log.event_records(some(spark, 80, 30)), log)
     assert sum(ingest(spark, log, out, mark)) == 30
+    assert rows(lake.read_events(spark, out), "timestamp") == [((NOW + i * (MINUTE + MICRO)).replace(tzinfo=None),) for i in range(110)]
     want = sorted(f"{s}-e{i}" for s, n in ((0, 40), (40, 40), (80, 30)) for i in range(n))
     assert ids(spark, out) == want
 
