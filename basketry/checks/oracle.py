@@ -657,3 +657,22 @@ ORACLE["merged_feature_rows"] = ORACLE["incremental_feature_rows"]
 ORACLE["state_features"] = ORACLE["customer_feature_rows"]
 ORACLE["stream_rolling_5m"] = ORACLE["rolling_5m_features"]
 ORACLE["stream_log_ingest"] = ORACLE["stream_ingested_events"]
+
+# Estimates are compared with the exact values by the queries; SQL gives these, and that all are near.
+_WEEKS = "ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-22'"
+ORACLE["distincts_sketched"] = sql(
+    [EV, PR, ENR],
+    f"""SELECT tenant_id, category, CAST(count(*) AS BIGINT) AS events, count(DISTINCT customer_id) AS n_customers,
+      count(DISTINCT product_id) AS n_products, TRUE AS customers_near, TRUE AS products_near
+    FROM enr WHERE {_WEEKS} GROUP BY 1, 2""",
+)
+ORACLE["distinct_counts_sketched"] = sql(
+    [EV, PR, ENR],
+    """SELECT tenant_id, customer_id, count(DISTINCT product_id) AS distinct_products_viewed,
+      count(DISTINCT category) AS distinct_categories_viewed, TRUE AS products_near, TRUE AS categories_equal
+    FROM enr GROUP BY 1, 2""",
+)
+ORACLE["quantiles_sketched"] = f"""SELECT 't' || (event_id % 3) AS tenant_id, event_type AS surface, share,
+  count(*) AS requests, TRUE AS all_counted, TRUE AS near
+FROM events, (VALUES (0.5::DOUBLE), (0.9::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) s(share)
+WHERE {_WEEKS} GROUP BY 1, 2, 3"""

@@ -16,7 +16,8 @@ from basketry.operators import features as feat
 from basketry.operators import increments as inc
 from basketry.operators import ingest, quality, reports, sessions
 from basketry.operators import requests as req
-from basketry.operators.enrich import enrich_events
+from basketry.operators import sketches
+from basketry.operators.enrich import attach_category, enrich_events
 from basketry.operators.tenancy import tenant_scope
 from basketry.plans import feature_state as state
 from basketry.plans.customer_features import customer_features
@@ -259,6 +260,64 @@ def basic_features(spark, sf_dir):
     return feat.basic_features(tb.events(spark, sf_dir), tb.products(spark, sf_dir), AS_OF)
 
 
+# ---- sketches
+
+
+@query
+def distincts_sketched(spark, sf_dir):
+    """Exact distinct counts of two weeks, and whether those from merged daily sketches are within three standard errors."""
+    events, products = tb.events(spark, sf_dir), tb.products(spark, sf_dir)
+    daily = materialize(sketches.daily_distincts(events, products), "sketches")
+    about = sketches.distincts_between(daily, "2024-01-08", "2024-01-21")
+    some = events.filter("timestamp >= timestamp '2024-01-08' AND timestamp < timestamp '2024-01-22'")
+    exact = attach_category(some, products, "customer_id").groupBy("tenant_id", "category").agg(
+        F.count_distinct("customer_id").alias("n_customers"), F.count_distinct("product_id").alias("n_products")
+    ).withColumnsRenamed({"tenant_id": "t", "category": "c"})
+    joined = about.join(exact, F.col("tenant_id").eqNullSafe(F.col("t")) & F.col("category").eqNullSafe(F.col("c")))
+
+    def near(estimate: str, n: str):
+        return (F.abs(F.col(estimate) - F.col(n)) <= F.ceil(3 * sketches.DISTINCT_ERROR * F.col(n))).alias(f"{estimate}_near")
+
+    return joined.select(
+        "tenant_id", "category", "events", "n_customers", "n_products", near("customers", "n_customers"), near("products", "n_products")
+    )
+
+
+@query
+def distinct_counts_sketched(spark, sf_dir):
+    """Exact distinct counts of every customer, and whether the approximate ones are within three standard errors."""
+    events, products = tb.events(spark, sf_dir), tb.products(spark, sf_dir)
+    about = feat.distinct_counts(events, products, approximate=True).withColumnsRenamed(
+        {"distinct_products_viewed": "products", "distinct_categories_viewed": "categories"}
+    )
+    exact = F.col("distinct_products_viewed")
+    near = F.abs(F.col("products") - exact) <= F.ceil(3 * sketches.DISTINCT_ERROR * exact)
+    return feat.distinct_counts(events, products).join(about, CUSTOMER).select(
+        *CUSTOMER, "distinct_products_viewed", "distinct_categories_viewed", near.alias("products_near"),
+        (F.col("categories") == F.col("distinct_categories_viewed")).alias("categories_equal"),
+    )
+
+
+@query
+def quantiles_sketched(spark, sf_dir):
+    """Requests of two weeks, and whether quantiles from merged daily sketches lie within the rank error."""
+    log = tb.latency_log(spark, sf_dir, with_time=True)
+    daily = materialize(sketches.daily_quantiles(log), "sketches")
+    about = sketches.quantiles_between(daily, [0.5, 0.9, 0.95, 0.99], "2024-01-08", "2024-01-21")
+    some = log.filter("created_at >= timestamp '2024-01-08' AND created_at < timestamp '2024-01-22'")
+    ranks = some.join(about, ["tenant_id", "surface"]).groupBy("tenant_id", "surface", "share").agg(
+        F.any_value("requests").alias("requests"), F.count("*").alias("n"),
+        F.count_if(F.col("latency_ms") < F.col("value")).alias("below"), F.count_if(F.col("latency_ms") <= F.col("value")).alias("upto"),
+    )
+    # Twice the stated error, which holds with a chance of 99 percent, and one place for its rounding.
+    slack = 2 * sketches.RANK_ERROR * F.col("n") + 1
+    goal = F.col("share") * F.col("n")
+    return ranks.select(
+        "tenant_id", "surface", "share", F.col("n").alias("requests"), (F.col("requests") == F.col("n")).alias("all_counted"),
+        ((F.col("below") - slack <= goal) & (F.col("upto") + slack >= goal)).alias("near"),
+    )
+
+
 # ---- increments, upserts, checkpoints
 
 

@@ -132,13 +132,14 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape_events(raw)
 
 
-def latency_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def latency_log(spark: SparkSession, sf_dir: str, with_time: bool = False) -> DataFrame:
     """A log with the event kind as surface and the event value as latency."""
     raw = configure(spark).read.parquet(f"{sf_dir}/events.parquet")
     return raw.select(
         _tenant(F.col("event_id")).alias("tenant_id"),
         F.col("event_type").alias("surface"),
         F.col("value").alias("latency_ms"),
+        *([F.col("ts").cast("timestamp").alias("created_at")] if with_time else []),
     )
 
 
