@@ -20,6 +20,7 @@ from basketry.operators import sketches
 from basketry.operators.enrich import attach_category, enrich_events
 from basketry.operators.tenancy import tenant_scope
 from basketry.plans import feature_state as state
+from basketry.plans import stored_lists
 from basketry.plans.customer_features import customer_features
 from basketry.plans.incremental import incremental_features
 from basketry.plans.recommend import (
@@ -630,6 +631,23 @@ def invalidated_recommendations(spark, sf_dir):
     return tables.current(spark, root, STORED)
 
 
+@query
+def invalidated_by_index(spark, sf_dir):
+    """The same survivors, found through the index from products to lists."""
+    updated = (
+        spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_size = 1")
+        .select(F.col("p_partkey").cast("string").alias("id"))
+        .join(tb.products(spark, sf_dir), "id")
+    )
+    roots = new_folder(spark, "lists"), new_folder(spark, "list-index")
+    recs = materialize(_recommend(spark, sf_dir, exclude=False), "recs")
+    stored_lists.store_lists(recs.filter("tenant_id <> 't0'"), *roots)
+    stored_lists.store_lists(recs, *roots)
+    stored_lists.compact_index(spark, roots[1], most=1)
+    stored_lists.drop_lists_naming(spark, updated, *roots)
+    return cells.read(spark, roots[0], STORED)
+
+
 # ---- reports, experiments, quality
 
 

@@ -133,6 +133,27 @@ def upsert(
     return _publish(written if carried is None else carried.unionByName(written), root)
 
 
+def remove(
+    gone: DataFrame, root: str, keys: Sequence[str], schema: str, partition_by: Sequence[str] = (), sort_by: Sequence[str] = (), options: dict[str, str] | None = None
+) -> int | None:
+    """Take out the rows whose keys ``gone`` has; rewrites only cells that may hold one. None if the table has no version."""
+    spark = gone.sparkSession
+    manifest, plain, cells = _stored(spark, root, schema, partition_by, CELLS)
+    if manifest is None and plain is None:
+        return None
+    types = {f.name: f.dataType for f in T.StructType.fromDDL(schema)}
+    named = _dealt(gone.select(*(F.col(k).cast(types[k]).alias(k) for k in keys)).distinct(), keys, partition_by, cells)
+    named = materialize(named, "removed")
+    old, carried = plain, None
+    if manifest is not None:
+        touched = named.select(*CELL).distinct()
+        old = _read(spark, root, manifest.join(touched, CELL, "left_semi"), schema)
+        carried = manifest.join(touched, CELL, "left_anti")
+    left = _dealt(old, keys, partition_by, cells).join(named.select(*keys), list(keys), "left_anti")
+    written = _write(left.select(*types, *CELL), root, schema, partition_by, cells, sort_by, options or {})
+    return _publish(written if carried is None else carried.unionByName(written), root)
+
+
 def replace(
     rows: DataFrame,
     root: str,
