@@ -677,3 +677,4 @@ ORACLE["quantiles_sketched"] = f"""SELECT 't' || (event_id % 3) AS tenant_id, ev
 FROM events, (VALUES (0.5::DOUBLE), (0.9::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) s(share)
 WHERE {_WEEKS} GROUP BY 1, 2, 3"""
 ORACLE["invalidated_by_index"] = ORACLE["invalidated_recommendations"]
+ORACLE["stream_merged_features"] = ORACLE["merged_features"]

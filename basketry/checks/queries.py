@@ -38,6 +38,7 @@ from basketry.sources import cells, lake, tables
 from basketry.sources import testbed as tb
 from basketry.streaming import jobs as stream
 from basketry.streaming import event_log, rolling
+from basketry.streaming import merged as merged_stream
 from basketry.streaming.sources import decode_messages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -876,6 +877,21 @@ def stream_5m_features(spark, sf_dir):
     return _upserted(spark, rows, "stream-5m", [*CUSTOMER, "window_start"])
 
 
+@query
+def stream_merged_features(spark, sf_dir):
+    """The rows of ``merged_features`` from a stream that joins the stored features at every batch."""
+    stream.configure_streaming(spark)
+    root, path = new_folder(spark, "features"), new_folder(spark, "stream-merged")
+    tables.upsert_table(features_at(spark, sf_dir), root, CUSTOMER, CUSTOMER_FEATURES, ["tenant_id"])
+    counts = stream.stream_5m_features(tb.event_stream(spark, sf_dir))
+    merged_stream.start_merged_features(counts, root, path, f"{path}-checkpoint").awaitTermination()
+    names = ["last_5m_views", "last_5m_clicks", "last_5m_product_views"]
+    return merged_stream.latest_merged(spark, path).select(
+        *CUSTOMER, "total_views", "streaming.window_start",
+        *(F.col(f"streaming.{c}").cast("double").alias(c) for c in names),
+    )
+
+
 @query
 def stream_log_ingest(spark, sf_dir):
     """Events written to the log in two halves, each read in bounded batches by a stream that is then restarted."""

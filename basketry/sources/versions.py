@@ -14,6 +14,12 @@ def fs_of(spark: SparkSession, path: str):
     return hpath, hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as processes that do not ask Spark have to read it."""
+    hpath, fs = fs_of(spark, path)
+    return fs.makeQualified(hpath).toString()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     hpath, fs = fs_of(spark, path)
     return fs.exists(hpath)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-from basketry.sources.versions import DONE, fs_of, next_version, versions
+from basketry.sources.versions import DONE, fs_of, next_version, qualified, versions
 
 # The source travels as code, so that it needs no package on the executors.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -35,12 +35,6 @@ FORMAT = "event_log"
 MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
-def qualified(spark: SparkSession, path: str) -> str:
-    """The path with its file system, as every process has to read it."""
-    hpath, fs = fs_of(spark, path)
-    return fs.makeQualified(hpath).toString()
-
-
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     if uri.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
