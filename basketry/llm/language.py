@@ -18,23 +18,24 @@ from basketry.session import materialize
 # Learning uses about this many documents of each language, drawn by a hash of the id.
 PER_LANGUAGE = 2000
 ROUNDS = 3
-# A word is cut after this many bytes (at a character); both learning and scoring see such parts.
+# Learning cuts a stretch without spaces after so many bytes (at a character); scores sum over whole ones.
 LONGEST = 32
 # Probability of a character that is no piece, the same in all languages; pseudo-count of a piece.
 UNKNOWN, PSEUDO = 1e-9, 0.02
-# Values grow by this factor per byte, so that products over LONGEST bytes stay in range.
-GROWTH = 4.0
+# Values grow by this factor per byte, so that products over LONGEST bytes stay in range; sums are
+# scaled anew after so many.
+GROWTH, SCALED = 4.0, 16
 UNDECIDED = "und"
 
 
-def parts(data: np.ndarray, at: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased, marked bytes of the rows, and (start, end, row) of their stretches of bounded length."""
+def parts(data: np.ndarray, at: np.ndarray, letter: np.ndarray, longest: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased, marked bytes of the rows, and (start, end, row) of their stretches, cut if ``longest`` is given."""
     text, at = _pieces.normalised(LOWER[data], at)
     start, end, row = _pieces.units(text, at, letter)
-    if len(start) and int((end - start).max()) > LONGEST:
-        # Cuts every LONGEST - 3 bytes, moved on to where a character starts.
-        cuts, step = [], LONGEST - 3
-        for s, e in zip(start[end - start > LONGEST], end[end - start > LONGEST]):
+    if longest and len(start) and int((end - start).max()) > longest:
+        # Cuts every longest - 3 bytes, moved on to where a character starts.
+        cuts, step = [], longest - 3
+        for s, e in zip(start[end - start > longest], end[end - start > longest]):
             at_cut = np.arange(s + step, e, step)
             for _ in range(3):
                 at_cut = at_cut + ((text[np.minimum(at_cut, len(text) - 1)] & 0xC0) == 0x80)
@@ -78,18 +79,39 @@ def log_likelihood(a: _pieces.Automaton, grown: np.ndarray, text: np.ndarray, le
     """Log probability of each stretch in each language: the forward sum over all its segmentations.
 
     ``grown`` has a row per piece, and a last one for unknown characters, of probabilities times
-    GROWTH to the piece's bytes (an unknown character counts one byte here, the rest below).
+    GROWTH to the piece's bytes (an unknown character counts one byte here, the rest below). Rows
+    are in order of falling length. Only the sums that a piece can still reach back to are held;
+    they are scaled to their greatest every few bytes, so a stretch may have any length.
     """
     rows, width = text.shape
-    forward = np.zeros((width + 1, rows, grown.shape[1]))
+    slots = max(4, int(a.length.max())) + 1
+    forward = np.zeros((slots, rows, grown.shape[1]))
     forward[0] = 1
+    scale, out = np.zeros((rows, grown.shape[1])), np.empty((rows, grown.shape[1]))
+    done, left = 0, rows  # positions worked off, rows not yet at their end
+
+    def advance(t: int) -> None:
+        nonlocal done, left
+        while done < t:
+            going = int(np.searchsorted(-length[:left], -done - 1, "right"))
+            if going < left:
+                out[going:left] = np.log(forward[done % slots, going:left]) + scale[going:left]
+                left = going
+            done += 1
+            if done % SCALED == 0 and left:
+                top = forward[:, :left].max(axis=0)
+                forward[:, :left] /= top
+                scale[:left] += np.log(top)
+            forward[done % slots] = 0
+
     for t, at, ends, piece in _walk(a, text, length):
-        came = forward[t - ends, at] * grown[piece]
+        advance(t)
+        came = forward[(t - ends) % slots, at] * grown[piece]
         if piece[0] < 0:
             came *= GROWTH ** (ends - 1)[:, None]
-        forward[t, at] += came
-    with np.errstate(divide="ignore"):
-        return np.log(forward[length, np.arange(rows)]) - (length * np.log(GROWTH))[:, None]
+        forward[t % slots, at] += came
+    advance(width + 1)
+    return out - (length * np.log(GROWTH))[:, None]
 
 
 def expected(a: _pieces.Automaton, grown: np.ndarray, text: np.ndarray, length: np.ndarray, language: np.ndarray, weight: np.ndarray, out: np.ndarray) -> None:
@@ -119,7 +141,7 @@ def _count_parts(model: str):
         for batch in batches:
             names = batch.column(0).to_pylist()
             for i, j, data, at in runs(batch.column(1)):
-                text, start, end, row = parts(data, at, a.letter)
+                text, start, end, row = parts(data, at, a.letter, LONGEST)
                 if not len(start):
                     continue
                 known = sorted(set(names[i:j]))

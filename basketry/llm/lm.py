@@ -18,6 +18,7 @@ from basketry.llm._order import appended, pick
 from basketry.llm._store import mapped, write
 from basketry.llm._text import U64, crc_bucket, hashes, mix, runs, tokens
 from basketry.session import shared_dir
+from basketry.sources.versions import qualified
 
 # Subtracted from every count and given to the lower order.
 DISCOUNT = 0.75
@@ -368,7 +369,8 @@ def train(docs: DataFrame, order: int = 3, shards: int | None = None, least: int
     """
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    model = Model(f"{shared_dir(spark)}/basketry/lm-{uuid4().hex}", np.zeros(shards + 1, np.int64))
+    # Workers read the folder themselves: name its file system.
+    model = Model(f"{qualified(spark, shared_dir(spark))}/basketry/lm-{uuid4().hex}", np.zeros(shards + 1, np.int64))
     texts = pick(docs, "text")
 
     def built(order_: int, build) -> list:

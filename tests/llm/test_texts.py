@@ -436,6 +436,40 @@ def test_forward_sum_is_that_of_all_segmentations():
         assert row.tolist() == pytest.approx([math.log(total(texts[i], k)) for k in (0, 1)])
 
 
+def test_forward_sum_of_long_stretches():
+    surface = [s.encode() for s in ("a", "b", "ab", "ba", "aba", "é", "bbbbbbbbbb")]
+    a = _pieces.build(surface)
+    p = _pieces.Pieces(surface, np.zeros(7), [-1] * 256, 0, 7)
+    probability = np.array([[0.2, 0.1], [0.3, 0.1], [0.1, 0.4], [0.1, 0.1], [0.2, 0.2], [0.05, 0.1], [0.05, 1e-6]])
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(x) for _ in range(n)) for n in (1, 15, 16, 17, 33, 400, 3000) for x in ("ab", "abé", "z", "bbbbbz", "éab中")]
+
+    def logs(text, k):
+        done = [0.0]
+        for t in range(1, len(text) + 1):
+            terms = [done[t - len(s.decode())] + math.log(q) for s, q in zip(surface, probability[:, k]) if text.endswith(s.decode(), 0, t)]
+            if text[t - 1] not in "abé":
+                terms.append(done[t - 1] + math.log(language.UNKNOWN))
+            top = max(terms)
+            done.append(top + math.log(sum(math.exp(x - top) for x in terms)))
+        return done[-1]
+
+    raw = [t.encode() for t in texts]
+    order = sorted(range(len(raw)), key=lambda i: -len(raw[i]))
+    data, length = np.frombuffer(b"".join(raw[i] for i in order), np.uint8), np.array([len(raw[i]) for i in order])
+    end = np.cumsum(length)
+    got = language.log_likelihood(a, language.grown_table(probability, p), _pieces.padded(data, end - length, end), length)
+    for i, row in zip(order, got):
+        assert row.tolist() == pytest.approx([logs(texts[i], k) for k in (0, 1)], rel=1e-9)
+
+
+def test_a_long_word_is_scored_whole(spark):
+    rows = [(i, " ".join(["strasse", "haus", "brücke"] if i % 2 else ["lorem", "ipsum", "amet"]), "yy" if i % 2 else "xx") for i in range(60)]
+    rows += [(100 + k, w * 40, None) for k, w in enumerate(["strassehausbrücke", "loremipsumamet"])]
+    got = {r.doc_id: r for r in language.language_report(documents(spark, rows)).collect()}
+    assert (got[100].lang_pred, got[101].lang_pred) == ("yy", "xx")
+
+
 # ---- lines
 
 
