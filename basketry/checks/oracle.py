@@ -678,3 +678,4 @@ FROM events, (VALUES (0.5::DOUBLE), (0.9::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE
 WHERE {_WEEKS} GROUP BY 1, 2, 3"""
 ORACLE["invalidated_by_index"] = ORACLE["invalidated_recommendations"]
 ORACLE["stream_merged_features"] = ORACLE["merged_features"]
+ORACLE["copartitioned_features"] = ORACLE["customer_feature_rows"]

@@ -34,7 +34,7 @@ from basketry.plans.ingest import ingest_to_lake
 from basketry.plans.refresh_cooccurrence import refresh_cooccurrence
 from basketry.schemas import COOCCURRENCE, CUSTOMER, CUSTOMER_FEATURES, DECISIONS, FEATURE_JOB, MODEL_VERSION
 from basketry.session import configure, materialize, shared_dir
-from basketry.sources import cells, lake, tables
+from basketry.sources import bucketed, cells, lake, tables
 from basketry.sources import testbed as tb
 from basketry.streaming import jobs as stream
 from basketry.streaming import event_log, rolling
@@ -431,6 +431,16 @@ def state_features(spark, sf_dir):
     return flat_features(state.features_of(cells.read(spark, roots[0], state.STATE), products, AS_OF))
 
 
+@query
+def copartitioned_features(spark, sf_dir):
+    """All features from state stored in buckets by customer: read, grouped and joined without a shuffle by customer."""
+    events, products = tb.events(spark, sf_dir), tb.products(spark, sf_dir)
+    path = new_folder(spark, "bucketed")
+    name = f"state_{uuid4().hex}"
+    held = bucketed.write_bucketed(state.folded(events), name, path, 16, sort_by=["slot"])
+    return flat_features(state.features_of(held, products, AS_OF))
+
+
 # ---- co-occurrence
 
 
