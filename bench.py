@@ -17,6 +17,7 @@ from basketry.checks import queries as q
 from basketry.operators import cooccurrence as co
 from basketry.operators.ingest import ingest_events
 from basketry.plans.customer_features import customer_features
+from basketry.plans.feature_state import add_events
 from basketry.plans.recommend import recommend
 from basketry.session import local_session, materialize
 from basketry.sources import testbed as tb
@@ -53,6 +54,14 @@ def main() -> None:
                  "rolling_5m_features", "latency_summary", "daily_activity"):
         jobs[name] = lambda name=name: q.QUERIES[name](spark, sf_dir)
 
+    # A batch of new events added to stored state; each run has a state of its own.
+    stored = iter([q.stored_state(spark, sf_dir) for _ in range(2)])
+
+    def added():
+        new, catalogue, roots = next(stored)
+        return add_events(new, catalogue, *roots, tb.AS_OF, "new")
+
+    jobs["state_increment"] = added
     seconds = {}
     for name, run in jobs.items():
         timed(run)
