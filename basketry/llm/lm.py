@@ -89,7 +89,8 @@ def _use(model: Model) -> Model:
 
 
 def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(shard, kind="stable")
+    # Two bytes are sorted by radix.
+    order = np.argsort(shard.astype(np.uint16) if len(shard) and shard.max() < 1 << 16 else shard, kind="stable")
     names, at = np.unique(shard[order], return_index=True)
     yield from zip(names.tolist(), np.split(order, at[1:]))
 
@@ -130,7 +131,7 @@ def find_grams(model: Model, order: int, context: np.ndarray, word: np.ndarray,
         if not size:
             continue
         first = int(level.cuts[shard - 1] >> U64(32)) if shard else 0
-        at = at[np.argsort(key[at], kind="stable")]
+        at = at[np.argsort(key[at])]
         local = context[at] - first
         pointers = _sequence(f"{folder}/{shard}.pointers")
         inside = local < pointers.n - 1
@@ -238,8 +239,12 @@ def _count(model: Model, order: int, least: int):
                 often = pair["count"] >= least if least > 1 else pair["position"] >= 0
                 at3 = np.flatnonzero(often[1:] & often[:-1]) + 1
                 key = (pair["position"][at3 - 1].astype(U64) << U64(32)) | number[at3].astype(U64)
-                key, first, counts = np.unique(key, return_index=True, return_counts=True)
-                yield _packed(np.searchsorted(model.levels[3].cuts, key, "right"), key, counts, pair["within"][at3][first])
+                order3 = np.argsort(key)
+                key = key[order3]
+                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+                counts, within = np.diff(np.append(first, len(key))), pair["within"][at3][order3[first]]
+                key = key[first]
+                yield _packed(np.searchsorted(model.levels[3].cuts, key, "right"), key, counts, within)
 
     return run
 
@@ -418,8 +423,9 @@ def _score(held):
                     before = np.concatenate([[-1], pair["position"][:-1]])
                     follows = np.flatnonzero((before >= 0) & (np.concatenate([[-1], row[:-1]]) == row))
                     key = (before[follows].astype(U64) << U64(32)) | (number[follows] + 1).astype(U64)
-                    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-                    some = follows[first]
+                    key, inverse = np.unique(key, return_inverse=True)
+                    some = np.empty(len(key), np.int64)
+                    some[inverse] = follows
                     _, share, rest, _, _ = find_grams(model, 3, before[some], number[some], pair["within"][some])
                     chance[follows] = share[inverse] + rest[inverse] * chance[follows]
                 score = np.bincount(row, np.log10(chance), n)
