@@ -86,8 +86,7 @@ def add_events(
     ``batch`` names the events: a batch that was added before changes the state no more, only the
     features are made again, so a run that broke off is simply repeated. ``updated_at`` is the time
     of the tenant's last event in the batch. Old events are not read; of the state, only the cells
-    that hold customers of the batch. The batch is never empty of meaning: without events nothing
-    but its name is stored.
+    that hold customers of the batch. Of an empty batch only the name is stored.
     """
     spark = events.sparkSession
     fresh = materialize(folded(events, on_bad), "batch")
