@@ -9,6 +9,9 @@ from basketry.streaming import jobs, rolling, sources
 from tests.builders import MICRO, MINUTE, NOW, events, rows
 
 
+MINUTE_US = 60_000_000
+
+
 def arrive(spark, path, *batches):
     for rows_ in batches:
         events(spark, rows_).coalesce(1).write.mode("append").parquet(path)
@@ -65,3 +68,37 @@ def test_windows_of_ties():
     assert found["last_5m_views"].tolist() == [1, 1, 2, 1, 1]
     assert found["last_5m_clicks"].tolist() == [1, 1, 1, 1, 1]
     assert found["last_5m_product_views"].tolist() == [0, 0, 1, 1, 0]
+
+
+def test_customers_of_one_state_are_counted_apart():
+    import numpy as np
+    import pandas as pd
+
+    draw = np.random.default_rng(3)
+    us = draw.integers(0, 3 * rolling.WIDTH_US, 400) // MINUTE_US * MINUTE_US
+    held = pd.DataFrame({
+        "customer_id": draw.choice(np.array(["a", "b", None], object), 400), "tenant_id": draw.choice(np.array(["t", None], object), 400),
+        "id": [str(i) for i in range(400)], "us": us, "counts": draw.choice([0, 1, 2, 5], 400), "own": draw.random(400) < 0.8,
+    })
+    got = rolling.rolled(held).set_index("id")
+    assert len(got) == held["own"].sum()
+    for r in held[held["own"]].itertuples():
+        near = held[(held["customer_id"].isna() if r.customer_id is None else held["customer_id"] == r.customer_id)
+                    & (held["tenant_id"].isna() if r.tenant_id is None else held["tenant_id"] == r.tenant_id)
+                    & (held["us"] <= r.us) & (held["us"] > r.us - rolling.WIDTH_US)]
+        for name, bit in rolling.COUNTS.items():
+            assert got.loc[r.id, name] == ((near["counts"] & bit) > 0).sum()
+
+
+def test_customers_share_states(spark, tmp_path):
+    """A state for every customer made as many calls to the store as there are events."""
+    jobs.configure_streaming(spark)
+    src, out, mark = (str(tmp_path / n) for n in ("src", "out", "mark"))
+    people = [("A", f"c{n}", "click", "p", NOW + (n % 2) * MINUTE) for n in range(300)]
+    arrive(spark, src, people, [("A", "end", "click", "p", NOW + 90 * MINUTE)])
+    stream = sources.file_events(spark, src, files_per_batch=1)
+    query = jobs.start_append(rolling.stream_rolling_5m(stream, groups=4), out, mark)
+    query.awaitTermination()
+    written = sum(op["customMetrics"].get("rocksdbPutCount", 0) for p in query.recentProgress for op in p["stateOperators"])
+    assert spark.read.parquet(out).where("last_5m_clicks = 1").count() == 300
+    assert 0 < written < 100
