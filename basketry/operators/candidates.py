@@ -211,7 +211,8 @@ def popularity_fallback(
         F.array_sort(F.collect_list(entry)).alias("popular")
     )
     reached = F.slice("popular", F.lit(1), reach.cast("int"))
-    chosen = waiting.join(lists, "tenant_id").select(*REQUEST, F.inline(reached))
+    # Of both sides the lists must travel: with few tenants they are too few rows to deal out.
+    chosen = waiting.join(F.broadcast(lists), "tenant_id").select(*REQUEST, F.inline(reached))
     return exclude_products(
         chosen.select(
             *REQUEST,
