@@ -89,16 +89,25 @@ def affinity_candidates(
 def expand_categories(
     categories: DataFrame, leaders: DataFrame, n: int, keys: list[str]
 ) -> DataFrame:
-    best_first = Window.partitionBy(*keys).orderBy(F.desc("category_score"), "product_id")
+    """The first ``n`` products of each key, by category score then id.
+
+    A key's lists are put in order while they are one row, so no row of a product is sorted.
+    """
+    lists = categories.join(leader_lists(leaders), ["tenant_id", "category"]).select(
+        *keys, (-F.col("affinity_score")).alias("below"), "ids"
+    )
+    scored = F.transform("ids", lambda i: F.struct(F.col("below").alias("below"), i.alias("product_id")))
+    best = F.slice(F.array_sort(F.flatten(F.collect_list(scored))), 1, n)
     return (
-        categories.join(leader_lists(leaders), ["tenant_id", "category"])
+        lists.groupBy(*keys)
+        .agg(best.alias("best"))
+        .select(*keys, F.posexplode("best").alias("place", "product"))
         .select(
             *keys,
-            F.col("affinity_score").alias("category_score"),
-            F.explode("ids").alias("product_id"),
+            (F.lit(0.0) - F.col("product.below")).alias("category_score"),
+            F.col("product.product_id").alias("product_id"),
+            (F.col("place") + 1).alias("rank"),
         )
-        .withColumn("rank", F.row_number().over(best_first))
-        .filter(F.col("rank") <= n)
     )
 
 

@@ -17,3 +17,17 @@ def test_popular_lists_meet_the_requests_where_these_are(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"rightHint=\(strategy=broadcast\)", plan)
     assert found.count() == 5000 * 6
+
+
+def test_lists_of_a_key_are_ordered_without_a_sort_of_their_products(spark):
+    names = "tenant_id STRING, category STRING, product_id STRING"
+    leaders = spark.createDataFrame([("A", c, p) for c, ps in {"x": ["1", "5"], "y": ["2", "4"], "z": ["3"], "w": ["0"]}.items() for p in ps], names)
+    scores = spark.createDataFrame(
+        [("A", "c", "x", 2.0), ("A", "c", "y", 2.0), ("A", "c", "z", 3.0), ("A", "c", "w", 0.0), ("A", None, "z", 0.0)],
+        "tenant_id STRING, customer_id STRING, category STRING, affinity_score DOUBLE",
+    )
+    found = cand.expand_categories(scores, leaders, 5, ["tenant_id", "customer_id"])
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r.rank, r.product_id, r.category_score) for r in found.where("customer_id = 'c'").collect())
+    assert got == [(1, "3", 3.0), (2, "1", 2.0), (3, "2", 2.0), (4, "4", 2.0), (5, "5", 2.0)]
+    assert [(r.rank, r.product_id, str(r.category_score)) for r in found.where("customer_id IS NULL").collect()] == [(1, "3", "0.0")]
