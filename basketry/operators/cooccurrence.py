@@ -158,6 +158,11 @@ def _near(horizon: str):
     ) & (F.col("product_a_id") != F.col("product_b_id"))
 
 
+def _bit(product: str):
+    """One of 64 bits, for a product."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(product), F.lit(64)).cast("int"))
+
+
 def _wide_pairs(slots: DataFrame, horizon: str) -> DataFrame:
     """Distinct pairs of wide customers, cut into ``parts`` by product a.
 
@@ -209,7 +214,8 @@ def pair_support(
     Pairs of narrow customers are listed and counted. A wide customer is only asked about
     those pairs, by looking up both products. Pairs that no narrow customer has need
     ``min_support`` wide customers, so they are listed for products with that many wide
-    buyers only; one or two wide customers list nothing.
+    buyers only; one or two wide customers list nothing. A row that asks for a product b travels
+    only if the customer's slot has the bit of one like it, which tells most of the others.
     """
     narrow, wide_rows = _split_by_width(slots, wide, chunk)
     listed = _narrow_pairs(narrow, horizon).groupBy(*PAIR).agg(F.count("*").alias("narrow_n"))
@@ -220,10 +226,13 @@ def pair_support(
 
     listed = materialize(listed, "narrow-pairs")
     wide_rows = materialize(wide_rows, "wide-slots")
-    holders = _as_a(wide_rows.drop("parts"))
+    held = wide_rows.groupBy(*CUSTOMER, F.col("slot").alias("b_slot")).agg(F.bit_or(_bit("product_id")).alias("held"))
+    holders = _as_a(wide_rows.drop("parts")).join(held, [*CUSTOMER, "b_slot"])
     asked = (
-        listed.select(*PAIR)
+        listed.select(*PAIR, _bit("product_b_id").alias("bit"))
         .join(holders, ["tenant_id", "product_a_id"])
+        .filter(F.col("held").bitwiseAND(F.col("bit")) != 0)
+        .drop("held", "bit")
         .join(_as_b(wide_rows.drop("parts")), [*CUSTOMER, "b_slot", "product_b_id"])
         .filter(_near(horizon))
         .select(*PAIR, "customer_id")

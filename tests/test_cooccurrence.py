@@ -110,3 +110,19 @@ def test_support_counts_buyers_once(spark):
                         ("A", "v", BUY, "p", NOW), ("A", "v", "click", "q", NOW)])
     got = co.product_support(ev)
     assert rows(got, "product_id", F.col("customer_support")) == [("p", 2)]
+
+
+def test_wide_customers_are_asked_about_what_they_may_hold(spark):
+    """Every pair of the narrow customers travelled for every product of every wide one."""
+    from pyspark.sql import functions as F
+
+    both = F.expr("shiftleft(1L, cast(pmod(xxhash64(product_id), 64L) as int))")
+    bits = {f"p{i}": spark.sql(f"SELECT 'p{i}' AS product_id").select(both).first()[0] for i in range(40)}
+    slots = [("A", f"n{i}", p, 0, 1, 2) for i in range(3) for p in ("p0", "p1")] + [("A", "w", f"p{i}", 0, 1, 2) for i in range(40) if bits[f"p{i}"] != bits["p1"]]
+    slots = spark.createDataFrame(slots, "tenant_id STRING, customer_id STRING, product_id STRING, slot BIGINT, first_us BIGINT, last_us BIGINT")
+    found = co.pair_support(slots, 3, wide=2, chunk=10)
+    assert "bit_or" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.product_a_id, r.product_b_id, r.co_count) for r in found.collect()) == [("p0", "p1", 3), ("p1", "p0", 3)]
+    more = slots.unionByName(spark.createDataFrame([("A", "w", "p1", 1, 5, 5)], slots.schema))
+    found = co.pair_support(more, 3, wide=2, chunk=10)
+    assert sorted((r.product_a_id, r.product_b_id, r.co_count) for r in found.collect()) == [("p0", "p1", 4), ("p1", "p0", 3)]
