@@ -896,7 +896,7 @@ def stream_merged_features(spark, sf_dir):
     counts = stream.stream_5m_features(tb.event_stream(spark, sf_dir))
     merged_stream.start_merged_features(counts, root, path, f"{path}-checkpoint").awaitTermination()
     names = ["last_5m_views", "last_5m_clicks", "last_5m_product_views"]
-    return merged_stream.latest_merged(spark, path).select(
+    return merged_stream.latest_merged(spark, path, ["total_views", "streaming"]).select(
         *CUSTOMER, "total_views", "streaming.window_start",
         *(F.col(f"streaming.{c}").cast("double").alias(c) for c in names),
     )

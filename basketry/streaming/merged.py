@@ -56,9 +56,12 @@ def start_merged_features(
     return writer.start()
 
 
-def latest_merged(spark: SparkSession, path: str) -> DataFrame:
-    """Each customer's newest row written by ``start_merged_features``: of the newest window, the last batch."""
+def latest_merged(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """Each customer's newest row written by ``start_merged_features``: of the newest window, the last batch.
+
+    With ``columns`` only these features, or ``streaming``, are read and returned.
+    """
     rows = spark.read.parquet(path)
-    values = [c for c in rows.columns if c not in (*CUSTOMER, "batch")]
+    values = [c for c in rows.columns if c not in (*CUSTOMER, "batch") and (columns is None or c in columns)]
     newest = F.max_by(F.struct(*values), F.struct("streaming.window_start", "batch")).alias("row")
     return rows.groupBy(*CUSTOMER).agg(newest).select(*CUSTOMER, "row.*")

@@ -66,3 +66,16 @@ def test_plain_versions(spark, tmp_path):
     arrive(spark, src, views(3))
     tables.publish(customer_features(spark.read.parquet(src), products(spark, []), NOW), root)
     assert rows(run(spark, src, root, out, mark), *COLUMNS) == [("A", f"c{i}", 1, 1) for i in range(3)]
+
+
+def test_only_named_columns_are_read(spark, tmp_path):
+    jobs.configure_streaming(spark)
+    src, root, out, mark = (str(tmp_path / n) for n in ("src", "features", "out", "mark"))
+    arrive(spark, src, views(6))
+    store(spark, src, root)
+    whole = run(spark, src, root, out, mark)
+    few = merged.latest_merged(spark, out, ["total_views", "streaming"])
+    assert sorted(few.columns) == ["customer_id", "streaming", "tenant_id", "total_views"]
+    assert "category_affinity" not in few._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(repr, few.collect())) == sorted(map(repr, whole.select(*few.columns).collect()))
+    assert spark.conf.get("spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows") == "false"
